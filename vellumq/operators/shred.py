@@ -78,7 +78,7 @@ def _walk(x: object, path: str, name: str, found: set[tuple[str, str]]) -> None:
         for k, v in x.items():
             _walk(v, f"{path}.{k}" if path else k, k, found)
     elif isinstance(x, list):
-        if any(isinstance(y, dict) for y in x):
+        if name and any(isinstance(y, dict) for y in x):
             found.add((name, "list"))
         for y in x:
             _walk(y, path + "[]", "", found)
