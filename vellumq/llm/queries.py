@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from vellumq.llm import containers, furniture, language, leaks, outranking, pieces, quality
+from vellumq.llm import containers, furniture, language, leaks, neardup, outranking, pieces, quality, scans
 
 
 def queries() -> dict:
     out = {}
-    for module in (outranking, pieces, furniture, containers, leaks, language, quality):
+    for module in (outranking, pieces, furniture, containers, leaks, language, quality, neardup, scans):
         out |= {k: v for k, v in vars(module).items() if k.startswith("p") and k[1].isdigit()}
     return out
 
