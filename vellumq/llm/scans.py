@@ -260,9 +260,13 @@ def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
-    """(seen, true): the correction of each unknown word that has one. `unknown` has seen, n."""
+    """(seen, meant): the correction of each word that has one. `unknown` has seen, n, digital.
+
+    Noise also gets into born-digital text, so being there doesn't clear a word: what counts is how much more
+    frequent the correction is.
+    """
     lex = v.filter((F.col("digital") >= 2) | (F.col("scanned") >= 8)).filter(F.col("word").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$") & (F.length("word") >= 2))
-    lex = cut(lex.select(F.col("word").alias("meant"), F.log1p(F.col("digital") + F.col("scanned")).alias("log_true"), "digital"))
+    lex = cut(lex.select(F.col("word").alias("meant"), F.log1p(F.col("digital") + F.col("scanned")).alias("log_true")))
 
     @F.pandas_udf("string")
     def spoiled(word: pd.Series, seed: pd.Series) -> pd.Series:
@@ -274,11 +278,13 @@ def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
     rare = some_rows(v.filter("digital between 1 and 3").filter(F.col("word").rlike(r"^\p{L}{3,}$")), "word", SAMPLE)
     rare = rare.select(F.col("word").alias("seen"), F.lit("").alias("truth"), F.log1p("digital").alias("log_seen"))
     t = candidates(bad.union(rare), lex).withColumn("y", (F.col("meant") == F.col("truth")).cast("int"))
+    t = t.filter("truth != '' or edits > 0")  # a rare word that confusions alone explain may be noise: no example
     model = fit_trees(t, RANK)
     if model is None:
         return v.sparkSession.createDataFrame([], "seen string, meant string")
-    real = unknown.select("seen", F.log1p("n").alias("log_seen"))
-    got = apply_trees(candidates(real, lex), model, RANK, "p").filter("p > 0.5")
+    real = unknown.select("seen", "n", "digital", F.log1p("n").alias("log_seen"))
+    close = candidates(real, lex).filter(F.exp("log_true") - 1 >= F.col("n") * F.when(F.col("digital") > 0, 50).otherwise(8))
+    got = apply_trees(close, model, RANK, "p").filter("p > 0.5")
     return cut(got.groupBy("seen").agg(F.max_by("meant", F.struct("p", "log_true", "meant")).alias("meant")))
 
 
@@ -297,14 +303,18 @@ def misread_tokens(x: DataFrame, breaks: DataFrame, v: DataFrame) -> DataFrame:
     """(block_id, pos, tok, other, left_len, seen, true) of the tokens with a wrongly read character."""
     t = tokens_of(x, breaks).withColumn("core", token_core(F.col("tok"))).withColumn("seen", F.lower("core"))
     t = t.filter(F.col("seen").rlike(r"[\p{L}!|]") & (F.length("seen") <= 60))
-    t = cut(t.join(v.filter("digital >= 1").select(F.col("word").alias("seen")), "seen", "left_anti"))
+    types = t.groupBy("seen").agg(F.count("*").alias("here")).join(v.withColumnRenamed("word", "seen"), "seen", "left")
+    types = cut(types.select("seen", F.greatest("here", F.coalesce(F.col("digital") + F.col("scanned"), F.lit(0))).alias("n"), F.coalesce("digital", F.lit(0)).alias("digital")))
+    t = cut(t.join(types, "seen"))
+    # a code like B12 stands as often in born-digital text
+    code = (F.col("digital") >= 5) & (F.col("digital") >= 0.2 * F.col("n"))
     # figures: digits and characters that are read for digits, at least one of each
     number = F.col("core").rlike(r"^[0-9OolISBZG|!.,/%-]*[0-9][0-9OolISBZG|!.,/%-]*$") & F.col("core").rlike(r"[OolISBZG|!]")
     single = F.col("core").rlike(r"^[lIOSBZ]{1,2}[.,][0-9OolISBZG]+$")
-    t = t.withColumn("number", number | single)
-    unknown = t.filter("not number and length(seen) >= 2").groupBy("seen").agg(F.count("*").alias("n"))
+    t = t.withColumn("number", (number | single) & ~code)
+    unknown = types.filter(F.col("seen").rlike(r"\p{L}") & (F.length("seen") >= 2))
     fix = corrections(unknown, v)
-    inside = F.col("seen").rlike(r"\p{Ll}[0-9!|]\p{Ll}|^[0135!|]\p{Ll}{3,}|\p{Ll}{3,}[01356!|]$|[ﬁﬂ]")
+    inside = F.col("seen").rlike(r"\p{Ll}[0-9!|]\p{Ll}|^[0135!|]\p{Ll}{3,}|\p{Ll}{3,}[01356!|]$|[ﬁﬂ]") & (F.col("digital") == 0)
     t = t.join(fix, "seen", "left").filter(F.col("number") | F.col("meant").isNotNull() | inside)
     return t.withColumn("meant", F.when(F.col("number"), as_number(F.col("core"))).otherwise(F.col("meant")))
 
