@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumq-cp-"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that Python stages find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vellumq_shipped", False):
+        return
+    sc._vellumq_shipped = True
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="vellumq-")) / "vellumq.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(path))
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan is computed once, its lineage ends, lost executors don't matter."""
     ensure_checkpoint_dir(df.sparkSession)
