@@ -48,30 +48,39 @@ def as_number(c: Column) -> Column:
     return F.translate(c, *DIGITS)
 
 
+_READ_AS: dict[str, list[str]] = {}
+for _t, _s in CONFUSIONS:
+    _READ_AS.setdefault(_t, []).append(_s)
+
+
 def confusion_cost(seen: str, true: str) -> tuple[int, int]:
     """(confusions, other edits) of the cheapest way from the true word to the one seen; an edit costs ten confusions."""
-    by: dict[str, list[str]] = {}
-    for t, s in CONFUSIONS:
-        by.setdefault(t, []).append(s)
-    n, m = len(true), len(seen)
-    cost = np.full((n + 1, m + 1), 10**6)
-    cost[0, 0] = 0
+    lo = 0
+    while lo < min(len(seen), len(true)) and seen[lo] == true[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(seen), len(true)) - lo and seen[-1 - hi] == true[-1 - hi]:
+        hi += 1
+    seen, true = seen[lo : len(seen) - hi], true[lo : len(true) - hi]
+    n, m, far = len(true), len(seen), 10**6
+    cost = [[far] * (m + 1) for _ in range(n + 1)]
+    cost[0][0] = 0
     for i in range(n + 1):
         for j in range(m + 1):
-            c = cost[i, j]
-            if c >= 10**6:
+            c = cost[i][j]
+            if c >= far:
                 continue
             if i < n and j < m:
-                cost[i + 1, j + 1] = min(cost[i + 1, j + 1], c + (0 if true[i] == seen[j] else 10))
+                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], c + (0 if true[i] == seen[j] else 10))
             if i < n:
-                cost[i + 1, j] = min(cost[i + 1, j], c + 10)
+                cost[i + 1][j] = min(cost[i + 1][j], c + 10)
             if j < m:
-                cost[i, j + 1] = min(cost[i, j + 1], c + 10)
+                cost[i][j + 1] = min(cost[i][j + 1], c + 10)
             for k in (1, 2):
-                for s in by.get(true[i : i + k], ()) if i + k <= n else ():
+                for s in _READ_AS.get(true[i : i + k], ()) if i + k <= n else ():
                     if seen.startswith(s, j):
-                        cost[i + k, j + len(s)] = min(cost[i + k, j + len(s)], c + 1)
-    return int(cost[n, m] % 10), int(cost[n, m] // 10)
+                        cost[i + k][j + len(s)] = min(cost[i + k][j + len(s)], c + 1)
+    return cost[n][m] % 10, cost[n][m] // 10
 
 
 def spoil(word: str, seed: int) -> str | None:
@@ -120,8 +129,8 @@ def fit_trees(rows: DataFrame, cols: list[str], trees: int = 50) -> Boosted | No
 
 def scanned_lines(b: DataFrame) -> DataFrame:
     """Scanned lines with their place on the page, garbage and page numbers marked."""
-    s, _ = block_scores(b)
-    x = with_scanned(s).filter("scanned").withColumn("line", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).filter("line != ''")
+    s, _ = block_scores(with_scanned(b).filter("scanned and text is not null"))
+    x = s.withColumn("line", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).filter("line != ''")
     x = x.withColumn("page", F.coalesce("page", F.lit(-1))).withColumn("src", F.coalesce("source_file", "doc_id", F.lit("")))
     # a wrapped remainder of prose may be figures alone: short lines are garbage only by their characters
     odd = (F.col("symbol_ratio") >= 0.3) | (F.col("slash_share") >= 0.5) | (F.col("max_word") >= 100) | ((F.col("no_vowel_share") >= 0.3) & (F.col("common_share") == 0) & (F.col("n_words") >= 4)) | ((F.col("mixed_share") >= 0.6) & (F.col("n_words") >= 3) & (F.col("mean_word") >= 8))
@@ -238,17 +247,18 @@ def grams(c: Column) -> Column:
 
 
 def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(seen columns, true, log_true, features): lexicon words that share q-grams with a word and are close to it.
+    """(seen columns, meant, log_true, features): lexicon words that share q-grams with a word and are close to it.
 
-    The inverted join is on (q-gram, length): a misreading changes the length by two at most.
+    The inverted join is on (q-gram, length): misreadings change the length by two at most. `least` is the frequency
+    (as log_true) below which a lexicon word can't be the correction.
     """
     lx = lexicon.withColumn("g", grams(F.col("meant"))).withColumn("len", F.length("meant")).withColumn("ng", F.size("g"))
-    lx = lx.select("meant", "log_true", "len", "ng", F.explode("g").alias("gram"))
+    lx = lx.select("meant", "log_true", "len", "ng", F.posexplode("g").alias("at", "gram"))
     s = words.withColumn("g", grams(F.col("seen"))).withColumn("sg", F.size("g")).withColumn("len", F.explode(F.expr("sequence(greatest(1, length(seen) - 2), length(seen) + 2)")))
-    s = s.select("seen", "sg", "len", F.explode("g").alias("gram"))
-    hit = s.join(lx, ["gram", "len"]).filter("seen != meant").groupBy("seen", "meant").agg(F.count("*").alias("common"), F.first("log_true").alias("log_true"), F.first("ng").alias("ng"), F.first("sg").alias("sg"))
+    s = s.select("seen", "sg", "len", "least", F.posexplode("g").alias("pos", "gram"))
+    hit = s.join(lx, ["gram", "len"]).filter("seen != meant and abs(pos - at) <= 3 and log_true >= least").groupBy("seen", "meant").agg(F.count("*").alias("common"), F.first("log_true").alias("log_true"), F.first("ng").alias("ng"), F.first("sg").alias("sg"))
     # up to two misreadings of two characters leave this share of the q-grams, short words less
-    hit = hit.filter(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("ng") * 0.34))).filter(F.expr("levenshtein(seen, meant, 4)") >= 0)
+    hit = hit.filter(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("ng") * 0.34))).filter(F.expr("levenshtein(seen, meant, cast(least(4, 2 + length(meant) / 4) as int))") >= 0)
 
     @F.pandas_udf("confusions int, edits int")
     def cost(seen: pd.Series, true: pd.Series) -> pd.DataFrame:
@@ -277,14 +287,13 @@ def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
     bad = bad.join(v.select(F.col("word").alias("seen")), "seen", "left_anti").dropDuplicates(["seen"]).withColumn("log_seen", F.log1p(F.pmod(F.xxhash64("seen"), F.lit(3)) + 1))
     rare = some_rows(v.filter("digital between 1 and 3").filter(F.col("word").rlike(r"^\p{L}{3,}$")), "word", SAMPLE)
     rare = rare.select(F.col("word").alias("seen"), F.lit("").alias("truth"), F.log1p("digital").alias("log_seen"))
-    t = candidates(bad.union(rare), lex).withColumn("y", (F.col("meant") == F.col("truth")).cast("int"))
+    t = candidates(bad.union(rare).withColumn("least", F.lit(0.0)), lex).withColumn("y", (F.col("meant") == F.col("truth")).cast("int"))
     t = t.filter("truth != '' or edits > 0")  # a rare word that confusions alone explain may be noise: no example
     model = fit_trees(t, RANK)
     if model is None:
         return v.sparkSession.createDataFrame([], "seen string, meant string")
-    real = unknown.select("seen", "n", "digital", F.log1p("n").alias("log_seen"))
-    close = candidates(real, lex).filter(F.exp("log_true") - 1 >= F.col("n") * F.when(F.col("digital") > 0, 50).otherwise(8))
-    got = apply_trees(close, model, RANK, "p").filter("p > 0.5")
+    real = unknown.select("seen", F.log1p("n").alias("log_seen"), F.log1p(F.col("n") * F.when(F.col("digital") > 0, 50).otherwise(8)).alias("least"))
+    got = apply_trees(candidates(real, lex), model, RANK, "p").filter("p > 0.5")
     return cut(got.groupBy("seen").agg(F.max_by("meant", F.struct("p", "log_true", "meant")).alias("meant")))
 
 
