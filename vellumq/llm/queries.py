@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from vellumq.llm import containers, furniture, language, leaks, neardup, outranking, pieces, quality, scans
 
+MODULES = (outranking, pieces, furniture, containers, leaks, language, quality, neardup, scans)
+
 
 def queries() -> dict:
     out = {}
-    for module in (outranking, pieces, furniture, containers, leaks, language, quality, neardup, scans):
-        out |= {k: v for k, v in vars(module).items() if k.startswith("p") and k[1].isdigit()}
+    for module in MODULES:
+        out |= {k: v for k, v in vars(module).items() if k[0] == "p" and k[1].isdigit()}
     return out
 
 
+# Every pair of items of a list compared: what the prefix sums avoid.
+_FLOW = """h as (select qid as g, config as s, chunk_ord as i, max(case when isnan(score) then null else score end) as x from hits where qid is not null and config is not null and chunk_ord is not null group by all),
+    items as (select distinct g, i from h), n as (select g, count(*) as n from items group by g),
+    lists as (select g, s, n - count(*) + count(x) as m, n - count(*) as u from h join n using (g) group by g, s, n),
+    named as (select g, s, i, (u + rank() over (partition by g, s order by x) - 1 + count(*) over (partition by g, s, x) / 2) / m as p from h join lists using (g, s) where x is not null),
+    rest as (select items.g, lists.s, items.i, u / 2 / m as p from items join lists using (g) where not exists (select 1 from h where h.g = items.g and h.s = lists.s and h.i = items.i)),
+    pts as (select * from named union all select * from rest),
+    flow as (select a.g, a.i, round(sum((least(1.0, greatest(0.0, (a.p - b.p) / 0.5)) - least(1.0, greatest(0.0, (b.p - a.p) / 0.5))) / m), 9) as flow
+        from pts a join pts b on a.g = b.g and a.s = b.s join lists on lists.g = a.g and lists.s = a.s group by all),
+    total as (select items.g, items.i, coalesce(flow, 0.0) as flow from items left join flow using (g, i))"""
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with {_FLOW} select g as qid, i as chunk_ord from (select *, row_number() over (partition by g order by flow desc, i) as rn from total) where rn = 1",
+        "p1_ranking": f"with {_FLOW} select g as qid, i as chunk_ord, round(flow, 6) as flow, row_number() over (partition by g order by flow desc, i) as rank from total",
         "p4_found": r"""select distinct chunk_ord from chunks where text is not null and chunk_ord is not null
             and (len(regexp_extract_all(text, '\S+')) > 240 or length(text) > 1800)""",
+        "p5_found": f"""with w as (select chunk_ord, any_value({_W}) as ws from chunks where text is not null and chunk_ord is not null group by chunk_ord),
+            s as (select chunk_ord, unnest(list_distinct([ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] for k in generate_series(1, len(ws) - 2)])) as sh from w where len(ws) >= 3),
+            n as (select chunk_ord, count(*) as n from s group by chunk_ord),
+            i as (select a.chunk_ord as x, b.chunk_ord as y, count(*) as i from s a join s b on a.sh = b.sh and a.chunk_ord < b.chunk_ord group by all)
+            select x as chunk_ord_a, y as chunk_ord_b from i join n nx on nx.chunk_ord = x join n ny on ny.chunk_ord = y where i.i / (nx.n + ny.n - i.i) >= 0.6""",
+        "p9_found": f"""with d as (select doc_id, {_W} as ws from documents where text is not null), t as (select item_id, {_W} as ws from heldout_items where text is not null),
+            dg as (select distinct doc_id, unnest([array_to_string(ws[k:(k + 12)], ' ') for k in generate_series(1, len(ws) - 12)]) as g from d where len(ws) >= 13),
+            tg as (select distinct item_id, unnest([array_to_string(ws[k:(k + 12)], ' ') for k in generate_series(1, len(ws) - 12)]) as g from t where len(ws) >= 13)
+            select distinct doc_id, item_id from dg join tg using (g)""",
     }
