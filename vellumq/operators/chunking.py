@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TARGET, OVERLAP = 120, 30
 WORD = r"(?U)[^\s\x1c-\x1f]+"
@@ -25,12 +26,17 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def ranges(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+def counted(words: str | None) -> Column:
+    """Words of a block: a column that has their number, else counted in `text`."""
+    n = F.size(split_words(F.col("text"))) if words is None else F.col(words)
+    return F.coalesce(F.when(n > 0, n).otherwise(0), F.lit(0)).cast("long")
+
+
+def ranges(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", target: int = TARGET, overlap: int = OVERLAP, words: str | None = None) -> DataFrame:
     """(doc, chunk_no, word_from, word_to) of every chunk; words are numbered from 0 within the document."""
     if not 0 <= overlap < target:
         raise ValueError("the overlap must be at least 0 and less than the target")
-    n = F.coalesce(F.size(split_words(F.col("text"))), F.lit(0))
-    per = blocks.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(order).alias("o"), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n"))
+    per = blocks.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(order).alias("o"), counted(words).alias("n"))
     arr = per.filter("n > 0").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("b"))
     zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("p"), F.array().cast("array<struct<f:bigint,t:bigint>>").alias("cuts"))
 
@@ -52,24 +58,21 @@ def ranges(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", tar
     return c.select(F.col("d").alias(doc), "chunk_no", F.col("c.f").alias("word_from"), F.col("c.t").alias("word_to"))
 
 
-def block_ranges(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord") -> DataFrame:
+def block_ranges(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", words: str | None = None) -> DataFrame:
     """Adds b_from, b_to: the words of the block within its document."""
-    from pyspark.sql.window import Window
-
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_words(F.col("text")))).cast("long")
     run = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("b_n", n).withColumn("b_to", F.sum("b_n").over(run)).withColumn("b_from", F.col("b_to") - F.col("b_n"))
+    return blocks.withColumn("b_n", counted(words)).withColumn("b_to", F.sum("b_n").over(run)).withColumn("b_from", F.col("b_to") - F.col("b_n"))
 
 
-def members(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+def members(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ord", target: int = TARGET, overlap: int = OVERLAP, words: str | None = None) -> DataFrame:
     """Chunk ranges joined with their blocks: doc, chunk_no, word_from, word_to, and the block's columns.
 
     The interval join is an equi-join: both sides are keyed by (doc, stretch of 128 words), so a document that holds
     a large share of all blocks spreads over many keys.
     """
     step = 128
-    c = ranges(blocks, doc, order, target, overlap).withColumn("cell", F.explode(F.sequence(F.floor(F.col("word_from") / step), F.floor((F.col("word_to") - 1) / step))))
-    b = block_ranges(blocks, doc, order).filter("b_n > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("b_from") / step), F.floor((F.col("b_to") - 1) / step))))
+    c = ranges(blocks, doc, order, target, overlap, words).withColumn("cell", F.explode(F.sequence(F.floor(F.col("word_from") / step), F.floor((F.col("word_to") - 1) / step))))
+    b = block_ranges(blocks, doc, order, words).filter("b_n > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("b_from") / step), F.floor((F.col("b_to") - 1) / step))))
     j = c.join(b, [doc, "cell"]).filter("b_from < word_to and b_to > word_from")
     # a pair that meets in several cells is kept in the first of them only
     return j.filter(F.col("cell") == F.greatest(F.floor(F.col("word_from") / step), F.floor(F.col("b_from") / step))).drop("cell")
