@@ -322,7 +322,7 @@ def chunk_shares(c: DataFrame, b: DataFrame, model: Boosted) -> DataFrame:
     j = c.select("chunk_ord", "chunk_id", "text").join(traced, "chunk_id", "left").withColumn("same", F.coalesce(F.size(split_words(F.col("text"))) == F.col("n"), F.lit(False)))
     rest = j.filter("not same").filter("text is not null").select("chunk_ord", split_words(F.col("text")).alias("w"))
     parts = rest.select("chunk_ord", F.explode(F.expr("transform(sequence(0, greatest(0, size(w) - 1), 30), i -> slice(w, i + 1, 30))")).alias("p")).select("chunk_ord", F.array_join("p", " ").alias("text"))
-    own = scored(with_stats(parts), model).groupBy("chunk_ord").agg((F.sum(F.when(F.col("junk") > 0.5, F.col("n_words")).otherwise(0)) / F.sum("n_words")).alias("share"))
+    own = scored(with_stats(parts), model).groupBy("chunk_ord").agg(F.try_divide(F.sum(F.when(F.col("junk") > 0.5, F.col("n_words")).otherwise(0)), F.sum("n_words")).alias("share"))
     return j.filter("same").select("chunk_ord", "share").union(own.select("chunk_ord", "share"))
 
 
