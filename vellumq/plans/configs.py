@@ -59,7 +59,7 @@ class Retriever:
             dense.check_model(embed_model(name), model if model is not None else embed_model(name))
             if vectors is None or encode is None:
                 raise ValueError(f"{name} needs vectors and an encoder for questions")
-        self.postings = lexical.token_table(chunks) if self.config.bm25 else None
+        self.built = lexical.index(chunks) if self.config.bm25 else None
 
     def _base(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         c = self.config
@@ -68,7 +68,7 @@ class Retriever:
         if c.embed:
             found["dense"] = dense.search(self.encode(dense.prefixed(questions, embed_model(c.name))), self.vectors, wide)
         if c.bm25:
-            found["sparse"] = lexical.bm25(questions, self.chunks, wide, self.postings)
+            found["sparse"] = lexical.bm25(questions, self.chunks, wide, self.built)
         first = found.get("dense", found.get("sparse"))
         hits = fusion.hybrid(found["dense"], found["sparse"], k) if len(found) == 2 else first
         return hits, lexical.confidence(questions, first)
