@@ -49,6 +49,20 @@ def test_overlap_is_the_words_before(spark):
     assert all(b["core_from"] - b["word_from"] == 3 for b in got[1:])
 
 
+def test_overlap_of_long_words_shortens_the_core(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"{i:03}" + "x" * rng.randrange(low, high) for i in range(60)) for low, high in ((19, 20), (22, 32), (1, 38), (36, 42))]
+    got = cut(spark, [*texts, " ".join(f"{i:03}" + "x" * 97 for i in range(9))])
+    for i, t in enumerate(texts):
+        words = t.split()
+        assert got[i][-1]["word_to"] == len(words)
+        for r in got[i]:
+            assert len(r["text"]) <= LIMITS["max_chars"] and r["text"].split() == words[r["word_from"] : r["word_to"]]
+        for a, b in zip(got[i], got[i][1:]):
+            assert b["core_from"] == a["word_to"] and b["core_from"] - b["word_from"] == 3
+    assert all(len(r["text"]) <= LIMITS["max_chars"] for r in got[4]) and len(got[4]) < 20  # three words don't fit
+
+
 def test_no_white_space_and_long_words(spark):
     jp, run = "薬を飲んでください。" * 60, "x" * 1000
     got = cut(spark, [jp, run, "ab " + run + " cd"])

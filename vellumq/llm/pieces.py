@@ -2,14 +2,15 @@
 
 Bounded-quantifier regular expressions consume a text from left to right. Their alternatives are ordered by the
 strength of the boundary (the rest fits, paragraph, sentence, clause, word, character), each takes as much as the
-limit allows, and together they match every character, so the pieces' cores joined give the text again. A second
-pass cuts cores that keep the word limit but not the character limit. A look-back on the cores before it gives each
-piece its overlap. Everything runs in SQL functions.
+limit allows, and together they match every character, so the pieces' cores joined give the text again. A fold over
+these cores looks back for each piece's overlap and cuts cores that keep the word limit but not the room that the
+overlap leaves under the character limit. Everything runs in SQL functions.
 
 Defined results: null text gives no piece, empty or blank text one piece as it is, a text within both limits one
-piece without overlap. The overlap is the last `overlap` words before the piece, fewer where these are longer than
-`overlap_chars` together; if not even one word fits, the last `overlap_chars` characters. Words are runs of
-characters that aren't Unicode white space. No piece exceeds either limit.
+piece without overlap. The overlap is the last `overlap` words before the piece, however long, as long as they leave
+room for a core that ends at a natural place; the core is shortened for them. Where they can't fit, the overlap is as
+many of these words as `overlap_chars` hold, if not even one fits the last `overlap_chars` characters. Words are runs
+of characters that aren't Unicode white space. No piece exceeds either limit.
 """
 
 from __future__ import annotations
@@ -32,10 +33,72 @@ def word_pattern(most: int) -> str:
     return rf"""(?U)\s++|(?:\S++(?:\s++\S++){{0,{many}}}(?=\s*\z)|{some}\S++(?=[ \t]*\n[ \t]*\n)|{some}\S*?{_END}(?=\s)|{some}\S*?[,;:)\]–—](?=\s)|\S++(?:\s++\S++){{0,{many}}})\s*+"""
 
 
+def _strong(half: object, near: object, most: object) -> str:
+    some = rf"[\s\S]{{{half},{near}}}"
+    return rf"""[\s\S]{{1,{most}}}\z|{some}(?:[。！？]|{_END}(?=\s))|{some}[,;:、，)](?=\s|[^\x00-\x7f])|{some}\s"""
+
+
 def char_pattern(most: int) -> str:
     """Up to `most` characters; boundaries from `most`/2 on, then any white space, then any character."""
-    some = rf"[\s\S]{{{most // 2},{most - 8}}}"
-    return rf"""(?U)[\s\S]{{1,{most}}}\z|{some}(?:[。！？]|{_END}(?=\s))|{some}[,;:、，)](?=\s|[^\x00-\x7f])|{some}\s|[\s\S]{{1,{most}}}"""
+    return rf"""(?U){_strong(most // 2, most - 8, most)}|[\s\S]{{1,{most}}}"""
+
+
+def _found(text: Column, pattern: str, room: Column) -> Column:
+    """What `pattern` finds within a row's own room; it names room / 2, room - 8, room and room - 1 as %1$d to %4$d."""
+    return F.call_function("regexp_extract", text, F.format_string(pattern, F.floor(room / 2).cast("int"), room - 8, room, room - 1), F.lit(0))
+
+
+#: Ends of words and of sentences or clauses without white space, at any place in the room.
+_NATURAL = r"[\s\S]{0,%4$d}\S(?:(?=\s|\z)|(?<=[。！？、，]))"
+_ROOM = rf"""(?U)(?:{_strong("%1$d", "%2$d", "%3$d")}|{_NATURAL}|[\s\S]{{1,%3$d}})\s*+"""
+LEAST_ROOM = 16
+
+
+def _let(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _fold(cores: Column, max_chars: int, overlap: int, overlap_chars: int) -> Column:
+    """array<struct<back, core>> of the pieces: overlap and core, from cores that keep the word limit."""
+    most, lead = max_chars - overlap_chars, max(0, overlap - 1)
+    none = F.lit("")
+
+    def natural(rest: Column, room: Column) -> Column:
+        return _found(rest, rf"(?U)\A{_NATURAL}", room) != ""
+
+    def room_by(back: Column) -> Column:
+        return F.least(F.lit(most), F.lit(max_chars) - F.length(back))
+
+    def step(s: Column) -> Column:
+        # `tail` is one character longer than a piece, so words it doesn't hold from their start on never fit
+        words = F.regexp_extract(s["tail"], rf"(?U)(?<!\S)(?:\S++\s++){{0,{lead}}}\S++\s*+\z", 0) if overlap else none
+        last = F.right(s["tail"], F.lit(overlap_chars))
+        fewer = F.regexp_extract(last, rf"(?U)(?<=\s)(?:\S++\s++){{0,{lead}}}\S++\s*+\z", 0)
+
+        def looked(w: Column) -> Column:
+            room = room_by(w)
+            # a core that would be cut inside a word in any case may be cut there for the overlap, too
+            fits = (room >= most) | ((room >= LEAST_ROOM) & (natural(s["rest"], room) | ~natural(s["rest"], F.lit(most))))
+            return F.when(fits, w).when(fewer != "", fewer).otherwise(last if overlap else none)
+
+        def cut(back: Column) -> Column:
+            room = room_by(back)
+            part = F.when(room >= most, F.regexp_extract(s["rest"], char_pattern(most), 0)).otherwise(_found(s["rest"], _ROOM, room))
+            return F.struct(back.alias("back"), F.when(F.length(s["rest"]) <= room, s["rest"]).otherwise(part).alias("core"))
+
+        def moved(x: Column) -> Column:
+            rest = F.substr(s["rest"], F.length(x["core"]) + 1)
+            return F.struct(rest.alias("rest"), F.right(F.concat(s["tail"], x["core"]), F.lit(max_chars + 1)).alias("tail"), F.array_append(s["out"], x).alias("out"))
+
+        return _let(_let(_let(words, looked), cut), moved)
+
+    def through(s: Column, core: Column) -> Column:
+        start = F.struct(core.alias("rest"), s["tail"].alias("tail"), s["out"].alias("out"))
+        # each step takes a character at least
+        return F.aggregate(F.sequence(F.lit(1), F.length(core)), start, lambda a, _: F.when(a["rest"] == "", a).otherwise(step(a)))
+
+    out = F.array().cast("array<struct<back:string,core:string>>")
+    return F.aggregate(cores, F.struct(none.alias("rest"), none.alias("tail"), out.alias("out")), through)["out"]
 
 
 def word_count(text: Column) -> Column:
@@ -46,21 +109,12 @@ def cut_text(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max
     """(key, piece_no, n_pieces, text, word_from, word_to, core_from): pieces in order; word offsets include the overlap."""
     if not 0 <= overlap < max_words or not 0 <= overlap_chars < max_chars:
         raise ValueError("the overlap must be smaller than the limits")
-    core_words, core_chars = max_words - overlap, max_chars - overlap_chars
     t = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
     whole = (word_count(F.col("t")) <= max_words) & (F.length("t") <= max_chars)
-    by_words = F.regexp_extract_all("t", F.lit(word_pattern(core_words)), F.lit(0))
-    by_chars = F.flatten(F.transform(by_words, lambda x: F.when(F.length(x) <= core_chars, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(char_pattern(core_chars)), F.lit(0)))))
-    p = t.select("k", F.posexplode(F.when(whole, F.array("t")).otherwise(by_chars)).alias("no", "core"))
+    by_words = F.regexp_extract_all("t", F.lit(word_pattern(max_words - overlap)), F.lit(0))
+    one = F.array(F.struct(F.lit("").alias("back"), F.col("t").alias("core")))
+    p = t.select("k", F.posexplode(F.when(whole, one).otherwise(_fold(by_words, max_chars, overlap, overlap_chars))).alias("no", "piece")).select("k", "no", "piece.*")
     w = Window.partitionBy("k").orderBy("no")
-    p = p.withColumn("before", F.concat(F.coalesce(F.lag("core", 2).over(w), F.lit("")), F.coalesce(F.lag("core", 1).over(w), F.lit(""))))
-    # a core that starts inside a word (character fallback) has no white space before it
-    last = F.right("before", F.lit(overlap_chars))
-    cut_off = F.length("before") > overlap_chars
-    sep = F.regexp_extract(last, rf"(?U)(?<=\s)(?:\S++\s++){{0,{max(0, overlap - 1)}}}\S++\s*+\z", 0)
-    full = F.regexp_extract(last, rf"(?U)(?<!\S)(?:\S++\s++){{0,{max(0, overlap - 1)}}}\S++\s*+\z", 0)
-    back = F.when(~cut_off, full).when(sep != "", sep).otherwise(last)
-    p = p.withColumn("back", back if overlap else F.lit(""))
     p = p.withColumn("cw", word_count(F.col("core"))).withColumn("bw", word_count(F.col("back")))
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("core_from", F.coalesce(F.sum("cw").over(upto), F.lit(0))).withColumn("n_pieces", F.count("*").over(Window.partitionBy("k")))
