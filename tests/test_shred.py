@@ -56,6 +56,19 @@ def test_json_layouts(spark):
     assert got == {("l0", 0, 2), ("l0", 2, 1), ("l1", 0, 5), ("t1", 0, 9), ("s0", 0, 4), ("p0", 0, 6), ("p2", 1, 1), ("d0", 0, 2), ("d1", 0, 3)}
 
 
+def test_regions_without_a_page_anywhere(spark):
+    docs = [
+        ("pages", {"pages": [{"page": 6, "chunks": [{"chunk_id": "p0", "regions": [{"bbox": [1, 2, 3, 4]}, None, {}]}, {"chunk_id": "p1", "page_start": 9, "regions": {"bbox": None}}]}]}),
+        ("top", {"chunks": [{"chunk_id": "t0", "page_start": 3, "regions": [{}]}, {"chunk_id": "t1", "regions": None}, {"chunk_id": "t2"}, {"chunk_id": "t3", "regions": []}]}),
+    ]
+    single = [("one", {"chunks": [{"chunk_id": "s0", "page_start": 4, "regions": {"page": 5}}, {"chunk_id": "s1", "page_start": 4, "regions": {}}]})]
+    for corners in ({"page": ["page"]}, nested.CORNERS):
+        found = lambda d: {(r["chunk_id"], r["n"], r["page"]) for r in nested.json_regions(files(spark, d), corners).collect()}  # noqa: B023, E731
+        assert found(docs) == {("p0", 0, 6), ("p0", 2, 6), ("p1", 0, 9), ("t0", 0, 3)}
+        assert found(docs[1:]) == {("t0", 0, 3)}
+        assert found(single) == {("s0", 0, 5), ("s1", 0, 4)}
+
+
 def test_empty_tables(spark):
     none = files(spark, [])
     assert nested.json_regions(none, {"page": ["page"]}).count() == 0

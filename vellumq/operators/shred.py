@@ -86,11 +86,12 @@ def _walk(x: object, path: str, name: str, found: set[tuple[str, str]]) -> None:
         found.add((path, "null" if x is None else "leaf"))
 
 
-def layout(df: DataFrame, column: str, most: int = 10_000) -> tuple[list[str], set[str]]:
+def layout(df: DataFrame, column: str, most: int = 10_000, known: tuple[str, ...] = ()) -> tuple[list[str], set[str]]:
     """Leaf paths of all documents and the names that hold lists of objects in any of them.
 
     As many as the layouts have, not the rows; more than `most` is an error. A name that is a list of objects in
-    some document is a list everywhere: a single object in its place counts as a list of one.
+    some document is a list everywhere, as are the names in `known`: a single object in its place counts as a list of
+    one.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +104,7 @@ def layout(df: DataFrame, column: str, most: int = 10_000) -> tuple[list[str], s
     got = df.select(column).mapInPandas(scan, "path string, kind string").distinct().limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"over {most} paths: this isn't one family of layouts")
-    lists = {r["path"] for r in got if r["kind"] == "list"}
+    lists = {r["path"] for r in got if r["kind"] == "list"} | set(known)
 
     def marked(path: str) -> str:
         steps = path.split(".")
@@ -233,20 +234,27 @@ def record_bases(paths: list[str], record_key: str) -> list[str]:
 
 
 def wanted_paths(paths: list[str], record_key: str, own: list[str], child: str, child_leaves: dict[str, list[str]], above: list[str]) -> list[tuple[str, str, str, str, int, int]]:
-    """(path, base, role, name, depth of its record, present level) of the leaves that the tables need."""
+    """(path, base, role, name, depth of its record, present level) of the leaves that the tables need.
+
+    Each base has a leaf of its children, even if no document has one there: its entries tell which elements exist.
+    """
+    name, (alt, *_) = next(iter(child_leaves.items()))
     out = []
     for base in record_bases(paths, record_key):
         k, level = base.count("[]"), present_level(base)
+        presence = f"{base}.{child}[].{alt.partition(':')[0]}"
+        if presence not in paths:
+            out.append((presence, base, "child", name, k, level + 3))
         for p in paths:
             rest = p[len(base) + 1 :]
             if p.startswith(base + ".") and rest in {record_key, *own}:
                 out.append((p, base, "own", rest, k, level))
-            for name, alts in child_leaves.items():
+            for column, alts in child_leaves.items():
                 if p in {f"{base}.{child}[].{a.partition(':')[0]}" for a in alts}:
-                    out.append((p, base, "child", name, k, level + 3))
-            name, at = p.rpartition(".")[2], p.rpartition(".")[0]
-            if name in above and base.startswith(at + ".") and at.count("[]") < k:
-                out.append((p, base, "above", name, at.count("[]"), present_level(at)))
+                    out.append((p, base, "child", column, k, level + 3))
+            at, _, last = p.rpartition(".")
+            if last in above and base.startswith(at + ".") and at.count("[]") < k:
+                out.append((p, base, "above", last, at.count("[]"), present_level(at)))
     return out
 
 
@@ -258,7 +266,7 @@ def json_tables(df: DataFrame, key: str, column: str, record_key: str, own: list
     links the two. `child_leaves` gives for each column the places it may stand at, "a.b" or "list[]:position".
     Both tables are rebuilt from the level sequences alone.
     """
-    paths, lists = layout(df, column)
+    paths, lists = layout(df, column, known=(child,))
     need = wanted_paths(paths, record_key, own, child, child_leaves, above)
     spark = df.sparkSession
     dims = spark.createDataFrame([(*x, i) for i, x in enumerate(need)], "path string, base string, role string, name string, k int, level int, pri int")
