@@ -109,6 +109,17 @@ def test_rrf_ties_keep_first_appearance(spark):
     assert [r["chunk_ord"] for r in got] == [9, 5, 2]
 
 
+def test_rrf_query_merges_every_configuration(spark, tmp_path):
+    from vellumq.plans import queries
+
+    kind = "config string, qid string, chunk_ord long, rank int"
+    rows = [("bm25", "q", 1, 1), ("dense-bge-small", "q", 2, 1), ("hybrid-bge-small", "q", 2, 2), ("a new one", "q", 3, 1), (None, "q", 4, 1)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "hits.parquet"))
+    assert [r["chunk_ord"] for r in queries.rrf_fusion(spark, str(tmp_path)).orderBy("rank").collect()] == [2, 3, 1]
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(str(tmp_path / "hits.parquet"))
+    assert queries.rrf_fusion(spark, str(tmp_path)).count() == 0
+
+
 def test_hybrid_confidence_is_the_dense_one(spark):
     c = chunk_df(spark, DRUGS)
     encode = lambda q: q.select("qid", dense.letter_vector(q.question).alias("embedding"))

@@ -116,9 +116,13 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """All retrievers' lists of a question merged; lists in order of the configuration's name."""
-    names = ["baseline-minilm", "bm25", "dense-bge-base", "hybrid-bge-small+rerank"]
-    h = hits(spark, d).withColumn("list", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("config")).cast("int") - 1).filter("list >= 0")
-    return _six(fusion.rrf_tagged(h, len(names), TOP))
+    h = hits(spark, d).filter("config is not null")
+    names = sorted(x["config"] for x in h.select("config").distinct().limit(metrics.MOST_CONFIGS + 1).collect())
+    if len(names) > metrics.MOST_CONFIGS:
+        raise ValueError(f"over {metrics.MOST_CONFIGS} configurations")
+    # one name at least: a table without hits has no lists
+    h = h.withColumn("list", F.array_position(F.array(*[F.lit(n) for n in names or [""]]), F.col("config")).cast("int") - 1)
+    return _six(fusion.rrf_tagged(h, max(1, len(names)), TOP))
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
