@@ -90,3 +90,17 @@ def test_nulls_and_empty(spark):
     assert x.count() == 1 and breaks.count() == 0 and m.count() == 0
     x, breaks, m = s.repaired(b.limit(0))
     assert x.count() == breaks.count() == m.count() == 0
+
+
+def test_few_pages_give_no_model_but_titles_and_corrections(spark):
+    rows = []
+    for d in "abc":
+        for page in (1, 2):
+            title = f"Druglabel {d * 3}oxin Prescribing Inform{'ation' if page == 1 else 'atlon'}"
+            for i, text in enumerate((title, *SENTENCES[4 * page - 4 : 4 * page])):
+                rows.append((len(rows), d, i, text, page, f"{d}.pdf", "ocr", "x", "y"))
+    x = s.with_headers(s.scanned_lines(spark.createDataFrame(rows, KIND)))
+    assert {r["block_id"] for r in x.filter("header").collect()} == set(range(0, 30, 5))
+    v = spark.createDataFrame([("should", 30, 0)], "word string, digital long, scanned long")
+    unknown = spark.createDataFrame([("sbould", 1, 0), ("shovel", 1, 0)], "seen string, n long, digital long")
+    assert [tuple(r) for r in s.corrections(unknown, v).collect()] == [("sbould", "should")]

@@ -145,11 +145,16 @@ def scanned_lines(b: DataFrame) -> DataFrame:
     return cut(x.select(*keep))
 
 
+ALIKE = 0.7  # similarity of two copies of a title where there is no model
 HEAD = ["sim", "pages", "odds", "lower", "ends", "hyphen", "n_words", "common_share"]
 
 
 def with_headers(x: DataFrame) -> DataFrame:
-    """Adds `header`: the running title at the head of a page."""
+    """Adds `header`: the running title at the head of a page.
+
+    Where the lines give no examples of titles (no source repeats one on three pages) or none of other lines, there is
+    no model: a head line is a title if a head line one or two pages away is like it. A source of one page has none then.
+    """
     w = Window.partitionBy("src", "page").orderBy("block_ord")
     x = x.withColumn("rank", F.sum((~F.col("pageno")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("norm", F.regexp_replace(F.lower("line"), r"[^\p{L}]+", ""))
@@ -178,8 +183,11 @@ def with_headers(x: DataFrame) -> DataFrame:
     blind = t.withColumn("sim", F.lit(-1.0)).withColumn("pages", F.lit(-1.0))  # as in sources of one page
     model = fit_trees(t.unionByName(blind), HEAD)
     if model is None:
-        return x.withColumn("header", F.lit(False))
-    got = apply_trees(f.filter("kind = 0"), model, HEAD, "p")
+        near = head.select("src", F.explode(F.array(*[F.col("page") + i for i in (-2, -1, 1, 2)])).alias("page"), F.col("norm").alias("other"))
+        like = 1 - F.levenshtein("norm", "other") / F.greatest(F.length("norm"), F.length("other"))
+        got = head.join(near, ["src", "page"]).groupBy("src", "page", "block_id", "rank").agg(F.max(like).alias("like")).withColumn("p", F.when(F.col("like") >= ALIKE, F.col("like")).otherwise(0.0))
+    else:
+        got = apply_trees(f.filter("kind = 0"), model, HEAD, "p")
     # of the first two lines at most one is the title: the likelier
     best = got.filter("p > 0.5").groupBy("src", "page").agg(F.max_by("block_id", F.struct("p", -F.col("rank"))).alias("block_id")).select("block_id", F.lit(True).alias("header"))
     return x.join(best, "block_id", "left").withColumn("header", F.coalesce("header", F.lit(False)))
@@ -273,7 +281,7 @@ def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
     """(seen, meant): the correction of each word that has one. `unknown` has seen, n, digital.
 
     Noise also gets into born-digital text, so being there doesn't clear a word: what counts is how much more
-    frequent the correction is.
+    frequent the correction is. Without examples for a model, corrections are what confusions alone explain.
     """
     lex = v.filter((F.col("digital") >= 2) | (F.col("scanned") >= 8)).filter(F.col("word").rlike(r"^\p{L}+(?:['’-]\p{L}+)*$") & (F.length("word") >= 2))
     lex = cut(lex.select(F.col("word").alias("meant"), F.log1p(F.col("digital") + F.col("scanned")).alias("log_true")))
@@ -290,10 +298,9 @@ def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
     t = candidates(bad.union(rare).withColumn("least", F.lit(0.0)), lex).withColumn("y", (F.col("meant") == F.col("truth")).cast("int"))
     t = t.filter("truth != '' or edits > 0")  # a rare word that confusions alone explain may be noise: no example
     model = fit_trees(t, RANK)
-    if model is None:
-        return v.sparkSession.createDataFrame([], "seen string, meant string")
     real = unknown.select("seen", F.log1p("n").alias("log_seen"), F.log1p(F.col("n") * F.when(F.col("digital") > 0, 50).otherwise(8)).alias("least"))
-    got = apply_trees(candidates(real, lex), model, RANK, "p").filter("p > 0.5")
+    close = candidates(real, lex)
+    got = (apply_trees(close, model, RANK, "p") if model else close.withColumn("p", F.when(F.col("edits") == 0, 1 - F.col("confusions") / 10).otherwise(0.0))).filter("p > 0.5")
     return cut(got.groupBy("seen").agg(F.max_by("meant", F.struct("p", "log_true", "meant")).alias("meant")))
 
 
