@@ -79,3 +79,29 @@ def test_null_document_and_clashing_columns(spark):
     df = frame(spark, {"a": [("x y", 1)]}).withColumn("n", F.lit(1)).withColumn("cell", F.lit(2)).withColumn("b_to", F.lit(3))
     df = df.unionByName(df.withColumn("doc_id", F.lit(None).cast("string")))
     assert chunking.chunks_of(df.drop("cell")).count() == 1
+
+
+def cut_ends(p, target, overlap):
+    s, out = 0, []
+    for x in p:
+        if x - s >= target:
+            out.append((s, x))
+            s = x - overlap
+    if p and (not out or p[-1] > out[-1][1]):
+        out.append((s, p[-1]))
+    return out
+
+
+def test_long_documents_in_slices(spark, monkeypatch):
+    """Slices smaller than a document: their maps composed give the same cuts as one pass."""
+    rng = random.Random(8)
+    monkeypatch.setattr(chunking, "SLICE", 64)
+    docs = {f"d{k}": [rng.choice([1, 2, 5, 9, 30, 200]) for _ in range(rng.choice([1, 4, 60, 400]))] for k in range(12)}
+    rows = spark.createDataFrame([(d, i, n) for d, ns in docs.items() for i, n in enumerate(ns)], "doc_id string, block_ord int, w int")
+    for target, overlap in ((20, 6), (3, 0), (120, 119)):
+        got = {}
+        for r in chunking.ranges(rows, target=target, overlap=overlap, words="w").orderBy("chunk_no").collect():
+            got.setdefault(r["doc_id"], []).append((r["word_from"], r["word_to"]))
+        for d, ns in docs.items():
+            p = [sum(ns[: i + 1]) for i in range(len(ns))]
+            assert got[d] == cut_ends(p, target, overlap)

@@ -69,6 +69,33 @@ def test_regions_without_a_page_anywhere(spark):
         assert found(single) == {("s0", 0, 5), ("s1", 0, 4)}
 
 
+def found_in(spark, docs):
+    return {(r["chunk_id"], r["n"], r["page"]) for r in nested.json_regions(files(spark, docs), {"page": ["page"]}).collect()}
+
+
+def test_a_layout_without_region_pages_beside_others(spark):
+    """Regions count although no leaf that is asked for stands in them; other files' layouts don't matter."""
+    bare = {"pages": [{"page": 3, "chunks": [{"chunk_id": "a_0", "regions": [{"bbox": [1, 2, 3, 4]}, {"bbox": [5, 6, 7, 8]}]}]}]}
+    assert found_in(spark, [("a", bare), ("b", [{"chunk_id": "b_0", "regions": [{"page": 1}]}])]) == {("a_0", 0, 3), ("a_0", 1, 3), ("b_0", 0, 1)}
+
+
+def test_single_record_dynamic_names_and_unrelated_objects(spark):
+    docs = [
+        ("one", {"chunk_id": "o", "page_start": 2, "regions": {"bbox": None}}),
+        ("names", {f"k{i}": {"page": i, "chunks": [{"chunk_id": f"n{i}", "regions": [{}]}]} for i in range(300)}),
+        # an object that only shares the list's name
+        ("other", {"regions": {"chunks": [{"chunk_id": "x", "page_start": 5, "regions": [None, {"page": 4}]}]}}),
+        ("deep", json.loads("[" * 150 + "]" * 150)),
+    ]
+    assert found_in(spark, docs) == {("o", 0, 2), ("x", 1, 4), *((f"n{i}", 0, i) for i in range(300))}
+
+
+def test_latest_version_of_a_file_counts(spark):
+    df = spark.createDataFrame([("f", json.dumps([{"chunk_id": "old", "regions": [{"page": 1}]}]), 1), ("f", json.dumps([{"chunk_id": "new", "regions": [{"page": 1}]}]), 2), ("g", "[" * 5000, 1)], "file_name string, payload string, at int")
+    df = df.selectExpr("file_name", "payload", "timestamp_seconds(at) as loaded_at")
+    assert [r["chunk_id"] for r in nested.json_regions(df, {"page": ["page"]}).collect()] == ["new"]
+
+
 def test_empty_tables(spark):
     none = files(spark, [])
     assert nested.json_regions(none, {"page": ["page"]}).count() == 0
@@ -93,15 +120,15 @@ def rebuild(entries, tree_paths):
     return out
 
 
-def leaves(x, lists, path="", idx=(), name=""):
-    if isinstance(x, dict) and name in lists:
+def leaves(x, lists, path="", idx=()):
+    if isinstance(x, dict) and not path.endswith("[]") and shred.bare(path) in lists:
         x = [x]
     if isinstance(x, dict):
         for k, v in x.items():
-            yield from leaves(v, lists, f"{path}.{k}" if path else k, idx, k)
+            yield from leaves(v, lists, f"{path}.{k}" if path else k, idx)
     elif isinstance(x, list):
         for i, y in enumerate(x):
-            yield from leaves(y, lists, path + "[]", (*idx, i), "")
+            yield from leaves(y, lists, path + "[]", (*idx, i))
     elif x is not None:
         yield (path, idx), x if isinstance(x, str) else json.dumps(x)
 
@@ -118,7 +145,7 @@ def test_round_trip_of_random_records(spark):
         return [make(depth - 1) for _ in range(rng.randrange(0, 4))]
 
     docs = [(f"f{i}", {"r": make(4)}) for i in range(40)]
-    paths, lists = shred.layout(files(spark, docs), "payload")
+    paths, lists = shred.layout([d for _, d in docs])
     tree = shred._tree(paths)
     for _, d in docs:
         assert rebuild(shred.stripe(d, tree, lists), paths) == dict(leaves(d, lists))

@@ -9,8 +9,8 @@ leaf apart.
 `shred` works on typed columns with built-in functions only. `shred_json` reads JSON text of unknown layout; it is
 the one Python step, as no built-in can walk a document whose fields change their type from file to file.
 
-Defined results: a null record, null or unparsable JSON and an empty table give no entries below level 0; a single
-object where other documents have a list counts as a list of one; columns of the input other than the key and the
+Defined results: a null record, null or unparsable JSON (or JSON nested deeper than `DEEPEST`) and an empty table give
+no entries below level 0; a single object where the document has a list elsewhere counts as a list of one; columns of the input other than the key and the
 shredded column are not touched, so their names cannot clash.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from vellumq.session import saved
+
 LEVELS = "path string, seq long, rep int, def int, value string"
 
 
@@ -65,56 +67,66 @@ def shred(df: DataFrame, key: str, column: str, paths: list[str] | None = None)
     return one.select("key", F.col("c.path").alias("path"), F.posexplode("c.entries").alias("seq", "e")).select("key", "path", F.col("seq").cast("long").alias("seq"), F.col("e.rep").alias("rep"), F.col("e.def").alias("def"), F.col("e.value").alias("value"))
 
 
+DEEPEST = 200  # levels of nesting up to which JSON is read
+
+
+def _too_deep(x: object) -> bool:
+    level = [x]
+    for _ in range(DEEPEST):
+        level = [y for v in level if isinstance(v, (dict, list)) for y in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
 def _parsed(text: object) -> object:
     try:
-        return json.loads(text) if isinstance(text, str) else None
-    except ValueError:
+        x = json.loads(text) if isinstance(text, str) else None
+    except (ValueError, RecursionError):
         return None
+    return None if _too_deep(x) else x
+
+
+def bare(path: str) -> str:
+    return path.replace("[]", "")
 
 
-def _walk(x: object, path: str, name: str, found: set[tuple[str, str]]) -> None:
-    """Leaf paths and the names of lists of objects, as (path or name, kind)."""
+def _walk(x: object, path: str, leaves: set[str], lists: set[str]) -> None:
+    """Leaf paths as they are written, and the bare paths of lists of objects."""
     if isinstance(x, dict):
         for k, v in x.items():
-            _walk(v, f"{path}.{k}" if path else k, k, found)
+            _walk(v, f"{path}.{k}" if path else k, leaves, lists)
     elif isinstance(x, list):
-        if name and any(isinstance(y, dict) for y in x):
-            found.add((name, "list"))
+        if path and any(isinstance(y, dict) for y in x):
+            lists.add(bare(path))
         for y in x:
-            _walk(y, path + "[]", "", found)
+            _walk(y, path + "[]", leaves, lists)
     else:
-        found.add((path, "null" if x is None else "leaf"))
+        leaves.add(path)
 
 
-def layout(df: DataFrame, column: str, most: int = 10_000, known: tuple[str, ...] = ()) -> tuple[list[str], set[str]]:
-    """Leaf paths of all documents and the names that hold lists of objects in any of them.
+def layout(docs: list[object], child: tuple[str, str] | None = None) -> tuple[list[str], set[str]]:
+    """Leaf paths of documents of one layout, and the bare paths that hold lists of objects in any of them.
 
-    As many as the layouts have, not the rows; more than `most` is an error. A name that is a list of objects in
-    some document is a list everywhere, as are the names in `known`: a single object in its place counts as a list of
-    one.
+    A path that is a list of objects somewhere is a list everywhere; `child` (record key, list) names lists of the
+    records that have the key. A single object at such a path counts as a list of one.
     """
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: set[tuple[str, str]] = set()
-        for b in batches:
-            for t in b[column]:
-                _walk(_parsed(t), "", "", found)
-        yield pd.DataFrame(sorted(found), columns=["path", "kind"], dtype="object")
-
-    got = df.select(column).mapInPandas(scan, "path string, kind string").distinct().limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"over {most} paths: this isn't one family of layouts")
-    lists = {r["path"] for r in got if r["kind"] == "list"} | set(known)
+    leaves: set[str] = set()
+    lists: set[str] = set()
+    for x in docs:
+        _walk(x, "", leaves, lists)
+    if child:
+        lists |= {f"{bare(p)[: -len(child[0])]}{child[1]}" for p in leaves if bare(p) == child[0] or p.endswith("." + child[0])}
 
     def marked(path: str) -> str:
-        steps = path.split(".")
-        return ".".join(s + "[]" if s in lists and i < len(steps) - 1 else s for i, s in enumerate(steps))
+        out, plain = [], ""
+        for s in path.split("."):
+            plain = f"{plain}.{bare(s)}" if plain else bare(s)
+            out.append(s + "[]" if plain in lists and not s.endswith("[]") else s)
+        # the last step is a leaf: an empty or scalar value in place of a list of objects stays as it is
+        return ".".join([*out[:-1], path.split(".")[-1]])
 
-    sure = {marked(r["path"]) for r in got if r["kind"] == "leaf"}
-    inner = {p[: i + 2] for p in sure for i in range(len(p)) if p.startswith("[]", i)}
-    nulls = {marked(r["path"]) for r in got if r["kind"] == "null"}
-    nulls = {p for p in nulls if not any(q == p or q.startswith((p + ".", p + "[]")) for q in sure) and p not in inner}
-    return sorted((sure | nulls) - {""}), lists
+    return sorted({marked(p) for p in leaves} - {""}), lists
 
 
 class _Node:
@@ -147,7 +159,8 @@ def _steps(part: str) -> list[str]:
 
 
 def stripe(doc: object, tree: _Node, lists: set[str]) -> list[tuple[str, int, int, int, str | None]]:
-    """(path, seq, rep, def, value) for every leaf path of the merged layout, absent ones as null entries."""
+    """(path, seq, rep, def, value) for every path of the layout, absent ones as null entries. A path that ends in []
+    tells which elements its list has: the definition level of one that isn't null is one higher."""
     out: list[tuple[str, int, int, int, str | None]] = []
     seqs: dict[str, int] = {}
 
@@ -155,38 +168,39 @@ def stripe(doc: object, tree: _Node, lists: set[str]) -> list[tuple[str, int, in
         n = seqs[path] = seqs.get(path, -1) + 1
         out.append((path, n, rep, d, v))
 
-    def emit(node: _Node, x: object, path: str, name: str, rep: int, d: int, depth: int) -> None:
-        if isinstance(x, dict) and name in lists and node.list is not None:
+    def emit(node: _Node, x: object, path: str, rep: int, d: int, depth: int) -> None:
+        if isinstance(x, dict) and node.list is not None and not path.endswith("[]") and bare(path) in lists:
             x = [x]
         if node.leaf:
             scalar = x is not None and not isinstance(x, (dict, list))
-            put(path, rep, d + scalar, (x if isinstance(x, str) else json.dumps(x)) if scalar else None)
+            there = scalar or (x is not None and path.endswith("[]"))
+            put(path, rep, d + there, (x if isinstance(x, str) else json.dumps(x)) if scalar else None)
         if node.list is not None:
             items = x if isinstance(x, list) else None
             if items:
                 for i, y in enumerate(items):
-                    emit(node.list, y, path + "[]", "", rep if i == 0 else depth + 1, d + 2, depth + 1)
+                    emit(node.list, y, path + "[]", rep if i == 0 else depth + 1, d + 2, depth + 1)
             else:
-                emit(node.list, None, path + "[]", "", rep, d + (items is not None), depth + 1)
+                emit(node.list, None, path + "[]", rep, d + (items is not None), depth + 1)
         known = x if isinstance(x, dict) else None
         for k, kid in node.kids.items():
-            emit(kid, known.get(k) if known is not None else None, f"{path}.{k}" if path else k, k, rep, d + (known is not None), depth)
+            emit(kid, known.get(k) if known is not None else None, f"{path}.{k}" if path else k, rep, d + (known is not None), depth)
 
-    emit(tree, doc, "", "", 0, 0, 0)
+    emit(tree, doc, "", 0, 0, 0)
     return out
 
 
 def present_level(path: str) -> int:
     """Definition level from which the node at `path` is there: 1 a step, 2 more for the list around it."""
-    level = 0 if path.startswith("[]") else 1
-    for part in path.split("."):
+    level = 0 if not path or path.startswith("[]") else 1
+    for part in path.split(".") if path else []:
         n = part.count("[]")
         level += (1 if part.replace("[]", "") or n else 0) + 2 * n
-    return level
+    return level if path else 1
 
 
 def shred_json(df: DataFrame, key: str, column: str, paths: list[str], lists: set[str]) -> DataFrame:
-    """Level entries of JSON text for the leaf paths named (see `layout`)."""
+    """Level entries of JSON text of one known layout for the paths named (see `layout`)."""
     tree = _tree(paths)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,31 +243,28 @@ def typed_child(df: DataFrame, key: str, array: str, leaves: list[str]) -> DataF
 
 
 def record_bases(paths: list[str], record_key: str) -> list[str]:
-    """Repeated (or single) ancestors whose records carry the leaf `record_key`."""
-    return sorted(p[: -len(record_key) - 1] for p in paths if p.endswith("." + record_key))
+    """Ancestors, repeated or single, whose records carry the leaf `record_key`; "" is the document itself."""
+    return sorted({p[: -len(record_key)].removesuffix(".") for p in paths if p == record_key or p.endswith("." + record_key)})
 
 
 def wanted_paths(paths: list[str], record_key: str, own: list[str], child: str, child_leaves: dict[str, list[str]], above: list[str]) -> list[tuple[str, str, str, str, int, int]]:
-    """(path, base, role, name, depth of its record, present level) of the leaves that the tables need.
+    """(path, base, role, name, depth of its record, present level) of the paths that the tables need.
 
-    Each base has a leaf of its children, even if no document has one there: its entries tell which elements exist.
+    Each base has the path of its list itself, so which children there are doesn't depend on any leaf of theirs.
     """
-    name, (alt, *_) = next(iter(child_leaves.items()))
     out = []
     for base in record_bases(paths, record_key):
-        k, level = base.count("[]"), present_level(base)
-        presence = f"{base}.{child}[].{alt.partition(':')[0]}"
-        if presence not in paths:
-            out.append((presence, base, "child", name, k, level + 3))
+        k, level, at_base = base.count("[]"), present_level(base), f"{base}." if base else ""
+        out.append((f"{at_base}{child}[]", base, "child", "", k, level + 3))
         for p in paths:
-            rest = p[len(base) + 1 :]
-            if p.startswith(base + ".") and rest in {record_key, *own}:
+            rest = p[len(at_base) :]
+            if p.startswith(at_base) and rest in {record_key, *own}:
                 out.append((p, base, "own", rest, k, level))
             for column, alts in child_leaves.items():
-                if p in {f"{base}.{child}[].{a.partition(':')[0]}" for a in alts}:
+                if p in {f"{at_base}{child}[].{a.partition(':')[0]}" for a in alts}:
                     out.append((p, base, "child", column, k, level + 3))
             at, _, last = p.rpartition(".")
-            if last in above and base.startswith(at + ".") and at.count("[]") < k:
+            if last in above and (not at or base.startswith(at + ".")) and at.count("[]") < k:
                 out.append((p, base, "above", last, at.count("[]"), present_level(at)))
     return out
 
@@ -264,26 +275,40 @@ def json_tables(df: DataFrame, key: str, column: str, record_key: str, own: list
     records: key, base, idx (numbers of the record in each repeated ancestor), record_key, own leaves, and the
     nearest value of each `above` leaf of an enclosing record. children: key, base, idx, n, leaves. (key, base, idx)
     links the two. `child_leaves` gives for each column the places it may stand at, "a.b" or "list[]:position".
-    Both tables are rebuilt from the level sequences alone.
+    Both tables are rebuilt from the level sequences alone. Each document has its own layout, so names that change
+    from document to document cost nothing, and nothing about paths goes to the driver but the greatest depth.
     """
-    paths, lists = layout(df, column, known=(child,))
-    need = wanted_paths(paths, record_key, own, child, child_leaves, above)
-    spark = df.sparkSession
-    dims = spark.createDataFrame([(*x, i) for i, x in enumerate(need)], "path string, base string, role string, name string, k int, level int, pri int")
-    deepest = max([x[0].count("[]") for x in need], default=1)
-    lv = ordinals(shred_json(df, key, column, sorted({x[0] for x in need}), lists), deepest) if need else spark.createDataFrame([], f"key {df.schema[key].dataType.simpleString()}, {LEVELS}, n1 long")
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for k, t in zip(b["key"], b["text"]):
+                doc = _parsed(t)
+                paths, lists = layout([doc], (record_key, child))
+                need = wanted_paths(paths, record_key, own, child, child_leaves, above)
+                roles: dict[str, list[tuple]] = {}
+                for p, *rest in need:
+                    roles.setdefault(p, []).append(tuple(rest))
+                got += [(k, *e, r) for e in stripe(doc, _tree(sorted(roles)), lists) for r in [roles[e[0]]]]
+            yield pd.DataFrame(got, columns=["key", "path", "seq", "rep", "def", "value", "roles"])
+
+    lv = saved(df.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInPandas(rows, f"key {kind}, {LEVELS}, roles array<struct<base:string,role:string,name:string,k:int,level:int>>"))
+    deepest = lv.agg(F.max(F.length("path") - F.length(F.replace("path", F.lit("[]"), F.lit("["))))).first()[0] or 1
+    lv = ordinals(lv, deepest)
     idx = F.array(*[F.col(f"n{i}") for i in range(1, deepest + 1)])
-    e = lv.join(F.broadcast(dims), "path").filter(F.col("def") >= F.col("level")).withColumn("all", idx).withColumn("idx", F.slice("all", 1, F.col("k")))
+    e = lv.withColumn("all", idx).select("key", "path", "seq", "rep", "def", "value", "all", F.explode("roles").alias("r")).select("*", "r.*").drop("r")
+    e = e.filter(F.col("def") >= F.col("level")).withColumn("idx", F.slice("all", 1, F.col("k")))
     link = ["key", "base", "idx"]
 
-    def leaf(names: list[str], where: Column | None = None) -> list[Column]:
+    def leaf(names: list[str]) -> list[Column]:
         return [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
 
     records = e.filter("role = 'own'").groupBy(*link).agg(*leaf([record_key, *own]))
     for a in above:
         # innermost first: the deepest enclosing record that has a value
-        up = e.filter((F.col("role") == "above") & (F.col("name") == a) & F.col("value").isNotNull()).select("key", "base", F.col("idx").alias("up"), F.col("k").alias("up_k"), F.col("value").alias("up_v"))
-        near = records.select(*link).join(up, ["key", "base"]).filter(F.slice("idx", 1, F.col("up_k")) == F.col("up")).groupBy(*link).agg(F.max_by("up_v", "up_k").alias("above_" + a))
+        up = e.filter((F.col("role") == "above") & (F.col("name") == a) & F.col("value").isNotNull()).select("key", "base", F.col("idx").alias("up"), F.col("k").alias("up_k"), F.length("path").alias("up_l"), F.col("value").alias("up_v"))
+        near = records.select(*link).join(up, ["key", "base"]).filter(F.slice("idx", 1, F.col("up_k")) == F.col("up")).groupBy(*link).agg(F.max_by("up_v", F.struct("up_k", "up_l")).alias("above_" + a))
         records = records.join(near, link, "left")
     at = F.element_at(F.col("all"), F.size(F.split("path", r"\[\]", -1)) - 1)
     c = e.filter("role = 'child'").withColumn("n", F.element_at("all", F.col("k") + 1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumq.operators.shred import json_tables, typed_child
+from vellumq.session import one_per_key
 from vellumq.sources.tables import chunks, table
 
 #: Where a region's corner may stand in the JSON layouts (fixed values).
@@ -28,11 +29,16 @@ def typed_regions(c: DataFrame, leaves: list[str]) -> DataFrame:
     return kids.join(c.select("chunk_ord", "chunk_id", "page_start"), "chunk_ord").withColumn("page", F.coalesce(_whole("page"), F.col("page_start").cast("bigint")))
 
 
+def latest(files: DataFrame) -> DataFrame:
+    """(file_key, payload): the latest version of each file; a file without a name is known by its content."""
+    at = F.col("loaded_at") if "loaded_at" in files.columns else F.lit(None).cast("timestamp")
+    one = files.filter("payload is not null").select(F.coalesce("file_name", F.concat(F.lit("#"), F.sha2("payload", 256))).alias("file_key"), "payload", at.alias("loaded_at"))
+    return one_per_key(one, ["file_key"], ["loaded_at"]).select("file_key", "payload")
+
+
 def json_regions(files: DataFrame, corners: dict[str, list[str]]) -> DataFrame:
     """Regions of raw chunk files, tied to chunk_id; pages as in `typed_regions`, else of the page around the chunk."""
-    one = files.select("file_name", "payload").filter("payload is not null").distinct()
-    one = one.withColumn("file_key", F.concat_ws("#", "file_name", F.xxhash64("payload").cast("string")))
-    rec, kids = json_tables(one, "file_key", "payload", "chunk_id", ["page_start", "page_end"], "regions", corners, ["page"])
+    rec, kids = json_tables(latest(files), "file_key", "payload", "chunk_id", ["page_start", "page_end"], "regions", corners, ["page"])
     j = kids.join(rec, ["file_key", "base", "idx"]).filter("chunk_id is not null")
     return j.withColumn("page", F.coalesce(_whole("page"), _whole("page_start"), _whole("above_page")))
 
@@ -57,9 +63,7 @@ def p3_regions(spark: SparkSession, folder: str) -> DataFrame:
 def p3_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All chunks of both sources with their pages."""
     a = chunks(spark, folder).select("chunk_id", F.col("page_start").cast("bigint").alias("page_start"), F.col("page_end").cast("bigint").alias("page_end"))
-    one = table(spark, folder, "chunk_files").select("file_name", "payload").filter("payload is not null").distinct()
-    one = one.withColumn("file_key", F.concat_ws("#", "file_name", F.xxhash64("payload").cast("string")))
-    rec, _ = json_tables(one, "file_key", "payload", "chunk_id", ["page_start", "page_end"], "regions", {"page": ["page"]}, ["page"])
+    rec, _ = json_tables(latest(table(spark, folder, "chunk_files")), "file_key", "payload", "chunk_id", ["page_start", "page_end"], "regions", {"page": ["page"]}, ["page"])
     b = rec.filter("chunk_id is not null").select("chunk_id", F.coalesce(_whole("page_start"), _whole("above_page")).alias("page_start"), _whole("page_end").alias("page_end"))
     return a.union(b).distinct()
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared checkpoint folder, lineage cuts, checked broadcasts."""
+"""Session helpers: shared checkpoint folder, lineage cuts, one row a key."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set (tests) make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Where none is set a local master (tests) gets its own
+    folder; on a cluster that is an error, as other machines can't read this machine's folders."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumq-cp-"))
 
 
@@ -36,38 +40,59 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(path))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: the plan is computed once, its lineage ends, lost executors don't matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """As `cut`, as a Parquet table below the shared checkpoint folder: smaller on disk, and later reads take only the
-    columns they need. Removed when the driver ends."""
+    """The rows as a Parquet table below the shared checkpoint folder: the plan is computed once, its lineage ends, lost
+    executors don't matter, and later reads take only the columns they need. Removed by `dropped`, at the end of a
+    `scratch` block, or when the driver ends."""
     ensure_checkpoint_dir(df.sparkSession)
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-    path = f"{jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellumq_path = path
+    return out
+
 
-    def remove() -> None:
+cut = saved
+_tables: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _tables.pop(path, None)
+    if spark is not None:
         with contextlib.suppress(Exception):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
-    atexit.register(remove)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def dropped(df: DataFrame) -> None:
+    """Removes the table of a frame that `saved` returned; nothing may read it afterwards."""
+    _remove(getattr(df, "_vellumq_path", ""))
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end the tables saved within, so that they don't pile up on the shared folder of a long-lived
+    driver. Results must be written within the block."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        for path in set(_tables) - before:
+            _remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_tables):
+        _remove(path)
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the one that is largest by `order` (nulls lose); rows with a null key are kept out."""
+    """One row for each key: the one that is largest by `order` (nulls lose), ties by a hash of the other columns; rows
+    with a null key are kept out."""
     rest = [c for c in df.columns if c not in keys]
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    best = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("__b")
+    best = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order], F.xxhash64(*rest))).alias("__b")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("__b")[c].alias(c) for c in rest])
-
-
-def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcast hint only where the counted rows stay within a stated bound; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= most else df
