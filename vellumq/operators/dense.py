@@ -1,8 +1,8 @@
 """Dense vectors: encoders, exact cosine search, and the index as plain tables with a manifest.
 
-Search is exact. `search` multiplies blocks of chunk vectors with the matrix of query vectors in Arrow batches and
-keeps each batch's best k a query, so only k rows a query and batch are shuffled. Query vectors are sent to the
-executors in blocks of bounded size, however many queries there are.
+Search is exact. `search` multiplies blocks of chunk vectors with matrices of query vectors in Arrow batches and keeps
+a task's best k a query, so only k rows a query and task are shuffled. Query vectors are sent to the executors in
+matrices of bounded size, however many queries there are.
 
 Defined results: a null or zero vector scores 0 with everything; vectors of another length than the queries' are an
 error; k larger than the corpus returns the whole corpus; ties go to the lower ordinal.
@@ -10,7 +10,6 @@ error; k larger than the corpus returns the whole corpus; ties go to the lower o
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 
 from vellumq.functions.text import query_prefix
 from vellumq.operators.lexical import top_k
+from vellumq.session import saved
+
+BLOCK, BLOCKS = 2000, 8
 
 
 class Encoder(Protocol):
@@ -66,42 +68,70 @@ def encoded(df: DataFrame, text: str, encoder: Encoder, batch: int = 32) -> Data
     return df.withColumn("embedding", enc(F.col(text)))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000, skip_self: bool = False) -> DataFrame:
-    """(qid, chunk_ord, rank, score): queries has qid, embedding; vectors has chunk_ord, embedding."""
+def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, skip_self: bool = False) -> DataFrame:
+    """(qid, chunk_ord, rank, score): queries has qid, embedding; vectors has chunk_ord, embedding.
+
+    Query vectors go to the executors in matrices of `block` rows, `BLOCKS` matrices to one pass over the vectors, so
+    what is sent at once is bounded; more queries are more passes. A task keeps the best k of each query over all its
+    batches, so k rows a query and task are shuffled.
+    """
     kind, okind = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_ord"].dataType.simpleString()
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    v = vectors.select("chunk_ord", "embedding")
-    out = None
-    for no in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == no).select("qid", "embedding").collect()  # about `block` rows
-        size = max((len(r["embedding"]) for r in rows if r["embedding"] is not None), default=0)
-        ids = [r["qid"] for r in rows]
-        matrix = np.array([r["embedding"] if r["embedding"] is not None else [0.0] * size for r in rows], dtype=np.float64).reshape(len(rows), size)
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix, size=size) -> Iterator[pd.DataFrame]:
+    q = queries.select("qid", "embedding")
+    blocks = max(1, -(-q.count() // block))
+    q = saved(q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))) if blocks > BLOCKS else q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    v, out = vectors.select("chunk_ord", "embedding"), None
+    for at in range(0, blocks, BLOCKS):
+        rows = q.filter((F.col("__b") >= at) & (F.col("__b") < at + BLOCKS)).collect()  # about `block` times `BLOCKS` rows
+        parts = []
+        for no in range(at, min(blocks, at + BLOCKS)):
+            some = [r for r in rows if r["__b"] == no]
+            size = max((len(r["embedding"]) for r in some if r["embedding"] is not None), default=0)
+            if some:
+                parts.append((np.array([r["qid"] for r in some], dtype=object), np.array([r["embedding"] if r["embedding"] is not None else [0.0] * size for r in some], dtype=np.float64).reshape(len(some), size)))
+        if not parts:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast(parts)
+
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            kept = [None] * len(sent.value)
             for b in batches:
-                for at in range(0, len(b), 1024):
-                    p = b.iloc[at : at + 1024]
-                    m = np.array([x if x is not None else np.zeros(size) for x in p["embedding"]], dtype=np.float64).reshape(len(p), -1)
-                    s = np.round(matrix @ m.T, 9)
+                for start in range(0, len(b), 4096):
+                    p = b.iloc[start : start + 4096]
                     o = p["chunk_ord"].to_numpy()
-                    got = []
-                    for i, q in enumerate(ids):
-                        keep = np.lexsort((o, -s[i]))
+                    for i, (ids, matrix) in enumerate(sent.value):
+                        m = np.array([x if x is not None else np.zeros(matrix.shape[1]) for x in p["embedding"]], dtype=np.float64).reshape(len(p), -1)
+                        s = np.round(matrix @ m.T, 9)
                         if skip_self:
-                            keep = keep[o[keep] != q]
-                        keep = keep[:k]
-                        got.append(pd.DataFrame({"qid": [q] * len(keep), "chunk_ord": o[keep], "score": s[i][keep]}))
-                    yield pd.concat(got) if got else pd.DataFrame({"qid": [], "chunk_ord": [], "score": []})
-
-        part = v.mapInPandas(best, f"qid {kind}, chunk_ord {okind}, score double") if rows else None
-        out = part if out is None else out.unionByName(part) if part is not None else out
+                            s[ids[:, None] == o[None, :]] = -np.inf
+                        kept[i] = _merged(kept[i], s, np.broadcast_to(o, s.shape), k)
+            for (ids, _), x in zip(sent.value, kept):
+                if x is not None:
+                    s, o = x
+                    real = s > -np.inf
+                    yield pd.DataFrame({"qid": np.repeat(ids, real.sum(axis=1)), "chunk_ord": o[real], "score": s[real]})
+
+        part = v.mapInPandas(best, f"qid {kind}, chunk_ord {okind}, score double")
+        out = part if out is None else out.unionByName(part)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"qid {kind}, chunk_ord {okind}, rank int, score double")
     return top_k(out, k).select("qid", "chunk_ord", "rank", "score")
 
 
+def _merged(old: tuple[np.ndarray, np.ndarray] | None, s: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k columns of each row of old and new scores, ties to the lower ordinal."""
+    if s.shape[1] > k:
+        # all that reach the k-th score, ties included, then in order
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        if old is not None and old[0].shape[1] >= k:
+            least = np.maximum(least, old[0].min(axis=1))
+        some = np.flatnonzero((s >= least[:, None]).any(axis=0))
+        s, o = s[:, some], o[:, some]
+    if old is not None:
+        s, o = np.concatenate([old[0], s], axis=1), np.concatenate([old[1], o], axis=1)
+    order = np.lexsort((o, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(o, order, axis=1)
+
+
 def save_index(vectors: DataFrame, chunks: DataFrame, path: str, model: str) -> None:
     """Vectors, chunks and, last, the manifest: without it there is no index."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -132,6 +162,3 @@ def prefixed(questions: DataFrame, model: str) -> DataFrame:
     """Questions with the instruction their model expects; chunks never get it."""
     return questions.withColumn("question", F.concat(F.lit(query_prefix(model)), "question"))
 
-
-def manifest_json(model: str, n: int) -> str:
-    return json.dumps({"embed_model": model, "num_chunks": n})

@@ -21,19 +21,19 @@ RRF_K, CANDIDATES, RERANKED = 60, 50, 30  # fixed values
 
 
 def rrf(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
-    """(qid, chunk_ord, rank, score) from lists of (qid, chunk_ord, rank); each list names a chunk once a question."""
-    tagged = reduce(DataFrame.unionByName, [x.select("qid", "chunk_ord", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)])
-    return rrf_tagged(tagged, len(lists), k, rrf_k)
-
-
-def rrf_tagged(tagged: DataFrame, n_lists: int, k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
-    """As `rrf`, for one table whose column `list` numbers the lists from 0; null ranks don't count."""
-    ranks = [F.min(F.when(F.col("list") == i, F.col("rank"))).alias(f"r{i}") for i in range(n_lists)]
-    g = tagged.filter("rank is not null").groupBy("qid", "chunk_ord").agg(*ranks)
-    parts = [F.coalesce(F.lit(1.0) / (F.lit(rrf_k) + F.col(f"r{i}")), F.lit(0.0)) for i in range(n_lists)]
-    g = g.withColumn("score", reduce(lambda a, b: a + b, parts))
-    first = F.coalesce(*[F.when(F.col(f"r{i}").isNotNull(), F.lit(i * (1 << 30)).cast("long") + F.col(f"r{i}")) for i in range(n_lists)])
-    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), first, "chunk_ord")
+    """(qid, chunk_ord, rank, score) from lists of (qid, chunk_ord, rank)."""
+    return rrf_tagged(reduce(DataFrame.unionByName, [x.select("qid", "chunk_ord", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)]), k, rrf_k)
+
+
+def rrf_tagged(tagged: DataFrame, k: int | None = None, rrf_k: int = RRF_K) -> DataFrame:
+    """As `rrf`, for one table whose column `list` tells the lists apart and orders them, however many there are.
+
+    Null ranks and lists don't count; a chunk that a list names twice counts with the better rank.
+    """
+    best = tagged.filter("rank is not null and list is not null").groupBy("qid", "chunk_ord", "list").agg(F.min("rank").alias("rank"))
+    g = best.groupBy("qid", "chunk_ord").agg(F.array_sort(F.collect_list(F.struct("list", "rank"))).alias("l"))  # one entry a list
+    g = g.withColumn("score", F.aggregate("l", F.lit(0.0), lambda a, x: a + F.lit(1.0) / (F.lit(rrf_k) + x["rank"])))
+    order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), F.col("l")[0]["list"], F.col("l")[0]["rank"], "chunk_ord")
     out = g.withColumn("rank", F.row_number().over(order))
     return (out.filter(F.col("rank") <= k) if k is not None else out).select("qid", "chunk_ord", "rank", "score")
 

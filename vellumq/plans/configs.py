@@ -37,7 +37,7 @@ CONFIGS = {
         Config("hybrid-bge-base+rerank", "bge-base", True, True),
     )
 }
-DEFAULT = "hybrid-bge-small"
+DEFAULT, BASELINE = "hybrid-bge-small", "baseline-minilm"
 
 
 def embed_model(name: str) -> str | None:

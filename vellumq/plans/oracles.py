@@ -18,8 +18,29 @@ H = "h as (select config, qid, chunk_ord, min(rank) as rank from hits where rank
 CONF = """conf as (select r.config, r.qid, coalesce(case when isnan(r.confidence) then null else r.confidence end, 0.0) as confidence, q.answerable, not q.answerable as positive
     from (select config, qid, arg_max(confidence, searched_at) as confidence from retrieval_results group by all) r join q using (qid))"""
 NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
-REL = f"""rel as (select distinct q.qid, c.chunk_ord from q join c on q.source_file = c.source_file
+EXACT = f"""rel as (select distinct q.qid, c.chunk_ord from q join c on q.source_file = c.source_file
     where q.answerable and len([e for e in q.evidence if contains({NORM.format('c.text')}, {NORM.format('e')})]) > 0)"""
+# Partial ratio >= 90 by its definition: the longest common subsequence of the shorter string with every stretch of the
+# longer one, bit-parallel in two numbers of 120 bits. Pairs that lack too many runs of three characters can't reach it
+# and are left out; moved by one character, a stretch's subsequence changes by one at most, so every eighth is tried first.
+_STEP = """list_reduce(masks[greatest(1, o + 1):o + m], lambda v, k: [(((v[1] + (v[1] & k[1])) & ones) | (v[1] - (v[1] & k[1]))),
+    (((v[2] + (v[2] & k[2]) + ((v[1] + (v[1] & k[1])) >> 120)) & ones) | (v[2] - (v[2] & k[2])))], [ones, ones])"""
+REL = f"""ev as (select distinct qid, source_file, {NORM.format('e')} as s from (select qid, source_file, unnest(evidence) as e from q where answerable)),
+    cn as (select chunk_ord, source_file, {NORM.format("coalesce(text, '')")} as t from c),
+    both_ as (select qid, chunk_ord, s, t from ev join cn using (source_file) where s <> '' and t <> ''),
+    sided as (select qid, chunk_ord, s, t, length(s) as m from both_ where length(s) <= length(t) union all select qid, chunk_ord, t, s, length(t) from both_ where length(s) >= length(t)),
+    sure as (select distinct qid, chunk_ord from sided where contains(t, s)),
+    near as (select * from sided where not contains(t, s) and (qid, chunk_ord) not in (select (qid, chunk_ord) from sure)
+        and len(list_intersect(list_distinct([s[i:i + 2] for i in range(1, m - 1)]), [t[i:i + 2] for i in range(1, length(t) - 1)])) >= len(list_distinct([s[i:i + 2] for i in range(1, m - 1)])) - 3 * floor(0.2 * m)),
+    lettered as (select *, (1::hugeint << 120) - 1 as ones, list_distinct(string_split(t, '')) as chars from near),
+    spots as (select *, [[list_sum([case when i <= 120 and s[i] = x then 1::hugeint << (i - 1) else 0::hugeint end for i in range(1, m + 1)])::hugeint,
+        list_sum([case when i > 120 and s[i] = x then 1::hugeint << (i - 121) else 0::hugeint end for i in range(1, m + 1)])::hugeint] for x in chars] as spots from lettered),
+    masked as (select * exclude (spots, chars), [spots[list_position(chars, t[j])] for j in range(1, length(t) + 1)] as masks from spots),
+    coarse as (select *, unnest(range(1 - m, length(t), 8)) as o from masked),
+    rough as (select * exclude (v, w) from (select *, least(o + m, length(t)) - greatest(o, 0) as w, {_STEP} as v from coarse) where 200.0 * (248 - bit_count(v[1]) - bit_count(v[2])) / greatest(1, m + w - 8) >= 90),
+    fine as (select * replace (o + step as o) from rough cross join (select unnest(range(0, 8)) as step) where o + step < length(t)),
+    ended as (select qid, chunk_ord, m, least(o + m, length(t)) - greatest(o, 0) as w, {_STEP} as v from fine),
+    rel as materialized (select qid, chunk_ord from sure union select qid, chunk_ord from ended where 200.0 * (240 - bit_count(v[1]) - bit_count(v[2])) / (m + w) >= 90)"""
 RANKS = """ranks as (select cf.config, q.qid, (select min(h.rank) from h join rel on h.qid = rel.qid and h.chunk_ord = rel.chunk_ord where h.qid = q.qid and h.config = cf.config) as rank
     from q cross join (select distinct config from h) cf where q.answerable)"""
 CURVE = """lv as (select config, confidence as boundary, sum(positive::int) as pos, sum((not positive)::int) as neg from conf group by all),
@@ -73,7 +94,7 @@ CTX = """ctx as (select config, qid, string_agg('[Source: ' || coalesce(source_f
     from fh join c using (chunk_ord) group by all)"""
 GATE = "gate as (select *, case when threshold is not null and confidence < threshold then 'abstain' else 'answer' end as decision from (select config, qid, confidence, case config when 'hybrid-bge-small' then 0.702 when 'dense-bge-small' then 0.702 when 'baseline-minilm' then 0.629 end::double as threshold from conf))"
 PAIRED = "pd as (select r.config, r.qid, coalesce(1.0 / r.rank, 0.0) - coalesce(1.0 / s.rank, 0.0) as diff from ranks r join ranks s on s.config = 'baseline-minilm' and s.qid = r.qid)"
-CV = """cvin as (select *, ((row_number() over (partition by config, positive order by qid) - 1) % 5)::int as fold from conf),
+CV = """cvin as (select *, ((row_number() over (partition by config, positive order by md5('0:' || qid), qid) - 1) % 5)::int as fold from conf),
     cl as (select config, t.test, confidence as boundary, sum(positive::int) as pos, sum((not positive)::int) as neg from cvin cross join (select unnest([0, 1, 2, 3, 4]) as test) t where fold <> t.test group by all),
     cp as (select config, test, boundary, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by config, test) as p from cl window w as (partition by config, test order by boundary rows unbounded preceding)
         union all select config, test, null, 0, 0, sum(pos) from cl group by config, test),
@@ -86,15 +107,18 @@ AWE = """awe as (select r.config, count(*) as n, avg(((b.boundary is null or k.c
     from ranks r join conf k on k.config = r.config and k.qid = r.qid join best b on b.config = r.config group by r.config)"""
 HM = "select config, count(*) as n, {} from ranks group by config".format(", ".join(f"round(avg(case when rank <= {k} then 1.0 else 0.0 end), 6) as hit_{k}" for k in (1, 3, 4, 5, 10)) + ", round(avg(case when rank <= 10 then 1.0 / rank else 0.0 end), 6) as mrr_10")
 
-_JSON_CHUNKS = """one as (select distinct file_name, payload from chunk_files where payload is not null),
+_JSON_CHUNKS = """one as (select arg_max(payload, loaded_at) as payload from chunk_files where payload is not null group by coalesce(file_name, payload)),
     pg as (select json_extract_string(p, '$.page') as page, json_extract(p, '$.chunks') as cs from (select unnest(json_extract(payload, '$.pages[*]')) as p from one)),
     lists as (select null as page, payload::json as cs from one where json_type(payload) = 'ARRAY' union all select null, json_extract(payload, '$.chunks') from one
         union all select null, unnest(json_extract(payload, '$.document.sections[*].chunks')) from one union all select page, cs from pg),
     ch as (select page, unnest(case json_type(cs) when 'ARRAY' then json_extract(cs, '$[*]') when 'OBJECT' then [cs] else [] end) as x from lists),
-    rg as (select json_extract_string(x, '$.chunk_id') as chunk_id, json_extract_string(x, '$.page_start') as page_start, page, case json_type(json_extract(x, '$.regions')) when 'ARRAY' then json_extract(x, '$.regions[*]') when 'OBJECT' then [json_extract(x, '$.regions')] else [] end as rs from ch),
+    rg as (select json_extract_string(x, '$.chunk_id') as chunk_id, json_extract_string(x, '$.page_start') as page_start, json_extract_string(x, '$.page_end') as page_end, page, case json_type(json_extract(x, '$.regions')) when 'ARRAY' then json_extract(x, '$.regions[*]') when 'OBJECT' then [json_extract(x, '$.regions')] else [] end as rs from ch),
     js as (select chunk_id, unnest(rs) as r, generate_subscripts(rs, 1) - 1 as region_no, page_start, page from rg)"""
 
 
+_CORNERS = ", ".join(f"try_cast(coalesce(json_extract_string(r, '$.bbox.{a}{i}'), json_extract_string(r, '$.bbox.{'min' if i == 0 else 'max'}.{a}'), json_extract_string(r, '$.bbox[{2 * i + (a == 'y')}]')) as double)" for i in (0, 1) for a in "xy")
+
+
 def oracle_sql() -> dict[str, str]:
     six = "round(score, 6) as score"
     sql = {
@@ -122,15 +146,15 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_topk": f"""with {BM25}, {DENSE}, f as (select qid, chunk_ord, d.rank as r0, s.rank as r1 from (select * from de where rank <= 50) d full join (select * from bm where rank <= 50) s using (qid, chunk_ord)),
             g as (select *, coalesce(1.0 / (60 + r0), 0.0) + coalesce(1.0 / (60 + r1), 0.0) as score from f)
             select qid, chunk_ord, rank, {six} from (select *, row_number() over (partition by qid order by round(score, 12) desc, coalesce(r0, 1073741824 + r1), chunk_ord)::int as rank from g) where rank <= 10""",
-        "rrf_fusion": f"""with {H}, g as (select qid, chunk_ord, {', '.join(f"min(case when config = '{n}' then rank end) as r{i}" for i, n in enumerate(['baseline-minilm', 'bm25', 'dense-bge-base', 'hybrid-bge-small+rerank']))} from h group by all),
-            s as (select *, {' + '.join(f'coalesce(1.0 / (60 + r{i}), 0.0)' for i in range(4))} as score, coalesce({', '.join(f'{i} * 1073741824::bigint + r{i}' for i in range(4))}) as first from g where coalesce(r0, r1, r2, r3) is not null)
+        "rrf_fusion": f"""with {H}, s as (select qid, chunk_ord, sum(1.0 / (60 + rank) order by config) as score, min({{'c': config, 'r': rank}}) as first from h where config is not null group by all)
             select qid, chunk_ord, rank, {six} from (select *, row_number() over (partition by qid order by round(score, 12) desc, first, chunk_ord)::int as rank from s) where rank <= 10""",
         "rerank_topk": f"""with {BM25}, qd as (select qid, list_distinct({_tokens('question')}) as ts from q),
             o as (select bm.qid, bm.chunk_ord, bm.rank as base, case when len(qd.ts) > 0 then len(list_intersect(qd.ts, list_distinct(tk.ts))) / len(qd.ts) else 0.0 end as score from bm join qd using (qid) join tk using (chunk_ord) where bm.rank <= 30)
             select qid, chunk_ord, rank, {six} from (select *, row_number() over (partition by qid order by score desc, base)::int as rank from o) where rank <= 10""",
         "confidence_per_query": f"with {C}, {Q}, {DENSE} select q.qid, round(coalesce(de.score, 0.0), 6) as confidence from q left join de on de.qid = q.qid and de.rank = 1",
         "abstain_gate": f"with {Q}, {CONF}, {GATE} select config, qid, confidence, threshold, decision from gate",
-        "relevance_exact": f"with {C}, {Q}, {REL} select qid, chunk_ord from rel",
+        "relevance_exact": f"with {C}, {Q}, {EXACT} select qid, chunk_ord from rel",
+        "relevance_fuzzy": f"with {C}, {Q}, {REL} select qid, chunk_ord from rel",
         "label_errors": f"with {C}, {Q}, {REL} select qid, source_file, question from q where answerable and qid not in (select qid from rel)",
         "first_relevant_rank": f"with {C}, {Q}, {H}, {REL}, {RANKS} select config, qid, rank from ranks",
         "hit_mrr": f"with {C}, {Q}, {H}, {REL}, {RANKS} {HM}",
@@ -159,5 +183,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""with {C}, {_JSON_CHUNKS}, ty as (select chunk_id, page_start, unnest(regions) as r, generate_subscripts(regions, 1) - 1 as region_no from c)
             select distinct chunk_id, region_no::bigint as region_no, coalesce(r.page, page_start)::bigint as page from ty where r is not null
             union select chunk_id, region_no::bigint, coalesce(try_cast(json_extract_string(r, '$.page') as double), try_cast(page_start as double), try_cast(page as double))::bigint from js where json_type(r) <> 'NULL' and chunk_id is not null""",
+        "p3_regions": f"""with {C}, {_JSON_CHUNKS}, ty as (select chunk_id, page_start, unnest(regions) as r, generate_subscripts(regions, 1) - 1 as region_no from c)
+            select distinct chunk_id, region_no::bigint as region_no, coalesce(r.page, page_start)::bigint as page, r.bbox.x0 as x0, r.bbox.y0 as y0, r.bbox.x1 as x1, r.bbox.y1 as y1 from ty where r is not null
+            union select chunk_id, region_no::bigint, coalesce(try_cast(json_extract_string(r, '$.page') as double), try_cast(page_start as double), try_cast(page as double))::bigint, {_CORNERS} from js where json_type(r) <> 'NULL' and chunk_id is not null""",
+        "p3_chunks": f"""with {C}, {_JSON_CHUNKS} select distinct chunk_id, page_start::bigint as page_start, page_end::bigint as page_end from c
+            union select chunk_id, coalesce(try_cast(page_start as double), try_cast(page as double))::bigint, try_cast(page_end as double)::bigint from rg where chunk_id is not null""",
     }
     return sql

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellumq.operators import chunking, dense, pages
+from vellumq.operators.running import prefix_sums
 from vellumq.sources import files
 
 
@@ -30,9 +31,9 @@ def blocks_of(page_rows: DataFrame, recognise: Callable[[DataFrame], DataFrame]
 
 
 def with_ordinals(chunks: DataFrame) -> DataFrame:
-    """chunk_ord over the whole corpus: documents by name, chunks in order; counted per document, then added up."""
-    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    base = n.select("doc_id", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """chunk_ord over the whole corpus: documents by name, chunks in order; running sums over one row a document."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("every", F.lit(0))
+    base = prefix_sums(n, ["every"], ["doc_id"], ["n"]).select("doc_id", (F.col("n_upto") - F.col("n")).alias("base"))
     return chunks.join(base, "doc_id").withColumn("chunk_ord", (F.col("base") + F.col("chunk_no")).cast("long")).drop("base")
 
 

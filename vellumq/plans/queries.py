@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vellumq.functions.text import preview, tokens
 from vellumq.operators import answer, chunking, dense, fusion, lexical, metrics, pages, relevance
+from vellumq.plans import configs
+from vellumq.session import saved
 from vellumq.sources.tables import blocks, chunks, table
 
 TOP = 10
@@ -116,13 +118,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """All retrievers' lists of a question merged; lists in order of the configuration's name."""
-    h = hits(spark, d).filter("config is not null")
-    names = sorted(x["config"] for x in h.select("config").distinct().limit(metrics.MOST_CONFIGS + 1).collect())
-    if len(names) > metrics.MOST_CONFIGS:
-        raise ValueError(f"over {metrics.MOST_CONFIGS} configurations")
-    # one name at least: a table without hits has no lists
-    h = h.withColumn("list", F.array_position(F.array(*[F.lit(n) for n in names or [""]]), F.col("config")).cast("int") - 1)
-    return _six(fusion.rrf_tagged(h, max(1, len(names)), TOP))
+    return _six(fusion.rrf_tagged(hits(spark, d).withColumnRenamed("config", "list"), TOP))
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -150,12 +146,12 @@ def relevance_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 def label_errors(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)
-    return relevance.unlabelled(q, relevance.exact(q, chunks(spark, d)))
+    return relevance.unlabelled(q, relevance.fuzzy(q, chunks(spark, d)))
 
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)
-    return metrics.first_ranks(hits(spark, d), relevance.exact(q, chunks(spark, d)), q, ["config"])
+    return metrics.first_ranks(hits(spark, d), relevance.fuzzy(q, chunks(spark, d)), q, ["config"])
 
 
 def first_relevant_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -181,32 +177,39 @@ def roc_auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cv_f1(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.cv_f1(metrics.turn_folds(conf(spark, d), ["config"]), ["config"]).select("config", F.round("cv_f1", 6).alias("cv_f1"))
+    return metrics.cv_f1(metrics.ranked_folds(conf(spark, d), ["config"]), ["config"]).select("config", F.round("cv_f1", 6).alias("cv_f1"))
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_ci(metrics.reciprocal(_ranks(spark, d)), ["config"], "rr", "qid")
 
 
-def paired_diff(spark: SparkSession, d: str) -> DataFrame:
-    p = metrics.paired(metrics.reciprocal(_ranks(spark, d)), ["config"], "baseline-minilm")
+def _mean_diff(ranks: DataFrame) -> DataFrame:
+    p = metrics.paired(metrics.reciprocal(ranks), ["config"], configs.BASELINE)
     return p.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 6).alias("mean_diff"))
 
 
+def paired_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _mean_diff(saved(_ranks(spark, d)))
+
+
 def paired_ci(spark: SparkSession, d: str) -> DataFrame:
-    p = metrics.paired(metrics.reciprocal(_ranks(spark, d)), ["config"], "baseline-minilm")
+    p = metrics.paired(metrics.reciprocal(saved(_ranks(spark, d))), ["config"], configs.BASELINE)
     return metrics.bootstrap_ci(p, ["config"], "diff", "qid")
 
 
-def answered_with_evidence(spark: SparkSession, d: str) -> DataFrame:
+def _kept_and_found(ranks: DataFrame, c: DataFrame) -> DataFrame:
     """Share of answerable questions that are kept at the picked boundary and have evidence in the first four hits."""
-    c = conf(spark, d)
     best = metrics.pick_threshold(metrics.pr_curve(c, ["config"]), ["config"]).select("config", "boundary")
-    x = _ranks(spark, d).join(c.select("config", "qid", "confidence"), ["config", "qid"]).join(best, "config")
+    x = ranks.join(c.select("config", "qid", "confidence"), ["config", "qid"]).join(best, "config")
     good = (F.col("boundary").isNull() | (F.col("confidence") > F.col("boundary"))) & F.coalesce(F.col("rank") <= answer.TOP_K, F.lit(False))
     return x.groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg(good.cast("double")), 6).alias("answered_with_evidence"))
 
 
+def answered_with_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _kept_and_found(_ranks(spark, d), conf(spark, d))
+
+
 def _first_hits(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -238,7 +241,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 def labels_review(spark: SparkSession, d: str) -> DataFrame:
     """Every question with the pages and number of the chunks that hold its evidence."""
     q, c = questions(spark, d), chunks(spark, d)
-    r = relevance.exact(q, c).join(c.select("chunk_ord", "page_start", "page_end"), "chunk_ord")
+    r = relevance.fuzzy(q, c).join(c.select("chunk_ord", "page_start", "page_end"), "chunk_ord")
     n = r.groupBy("qid").agg(F.count("*").alias("n_chunks"))
     p = r.select("qid", F.explode(F.sequence("page_start", "page_end")).alias("page")).distinct().groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda x: x.cast("string")), ", ").alias("pages"))
     out = q.join(n, "qid", "left").join(p, "qid", "left")
@@ -247,11 +250,13 @@ def labels_review(spark: SparkSession, d: str) -> DataFrame:
 
 def config_report(spark: SparkSession, d: str) -> DataFrame:
     """One row of numbers for each configuration."""
-    r = _ranks(spark, d)
-    c = conf(spark, d)
+    r = saved(_ranks(spark, d))
+    c = saved(conf(spark, d))
     best = metrics.pick_threshold(metrics.pr_curve(c, ["config"]), ["config"]).select("config", F.round("f1", 6).alias("abstain_f1"))
     m = metrics.retrieval_metrics(r, ["config"]).select("config", "n", "hit_1", "hit_4", "hit_10", "mrr_10")
-    return m.join(best, "config").join(roc_auc(spark, d), "config").join(cv_f1(spark, d), "config").join(answered_with_evidence(spark, d).drop("n"), "config").join(paired_diff(spark, d).drop("n"), "config")
+    auc = metrics.roc_auc(c, ["config"]).select("config", F.round("auc", 6).alias("auc"))
+    cv = metrics.cv_f1(metrics.ranked_folds(c, ["config"]), ["config"]).select("config", F.round("cv_f1", 6).alias("cv_f1"))
+    return m.join(best, "config").join(auc, "config").join(cv, "config").join(_kept_and_found(r, c).drop("n"), "config").join(_mean_diff(r).drop("n"), "config")
 
 
 NAMES = (
