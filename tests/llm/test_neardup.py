@@ -5,16 +5,27 @@ import numpy as np
 from vellumq.llm import neardup as nd
 
 
-def test_golay_is_perfect():
-    code = nd.Golay()
-    w = np.random.default_rng(0).integers(0, 1 << 23, 4000)
-    near = w ^ code.home[nd.syndrome(w)]
-    assert (nd.syndrome(near) == 0).all()
-    assert max(bin(int(x)).count("1") for x in w ^ near) <= 3
-    which, anchors = code.reached(w)
-    assert abs(len(anchors) / len(w) - 5.32) < 0.2
-    home = code.homes(w)
-    assert all(h in anchors[which == i] for i, h in list(enumerate(home))[:50])
+def test_code_is_perfect_and_pairs_meet_often_enough():
+    home, reach = nd.anchors_of_words()
+    words = np.arange(128)
+    code = [int(w) for w in words[nd.syndrome(words) == 0]]
+    assert len(code) == 16 and len({c >> nd.CHECKS for c in code}) == 16
+    assert all(sum((c ^ w).bit_count() <= 1 for c in code) == 1 for w in words.tolist())
+    assert all(h in r for h, r in zip(home, reach)) and np.mean([len(r) for r in reach]) == 3.625
+    # similarity 0.6: the symbols agree in 0.6 of the tables, a bit differs with probability 0.2
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 128, 40_000)
+    y = x ^ ((rng.random((40_000, 7)) < 0.2) @ (1 << np.arange(7)))
+    one = 0.6 * np.mean([home[a] in reach[b] for a, b in zip(x.tolist(), y.tolist())])
+    assert abs(one - 0.43) < 0.01 and 1 - (1 - one) ** nd.TABLES > 0.99998
+
+
+def test_texts_that_share_nothing_never_meet(spark):
+    """Comparisons don't come from chance: anchors grow with the shingles."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{i}x{rng.randrange(10**6)}" for _ in range(40)) for i in range(1500)]
+    reps = nd.fingerprinted(frame(spark, texts), "id", "t")
+    assert nd.met(reps, 0.0).count() == 0
 
 
 def frame(spark, texts):

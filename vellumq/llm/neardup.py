@@ -1,13 +1,19 @@
 """Problem 5: chunks that are nearly the same, by anchor-point covering.
 
-A chunk's set of word shingles gets fingerprints of 23 one-bit minhashes, one fingerprint for each of `TABLES`
-independent tables. The anchors of a table are the 4,096 words of the binary Golay code, a perfect covering code of
-radius 3: every fingerprint lies within 3 bits of exactly one anchor, its home. Each fingerprint is replicated to all
-anchors within the covering radius plus the threshold of 1 (5.3 on average) and compared, per anchor, with those whose
-home it is, on 256 further minhash bits. An exact Jaccard check on the shingle sets follows.
+A chunk's set of word shingles gets `TABLES` fingerprints. A fingerprint is a symbol, the least shingle under the
+table's hash, and seven one-bit minhashes. The anchors of a table are the words of a covering code over that mixed
+alphabet: any symbol, followed by a word of the binary Hamming code of length 7, a perfect covering code of radius 1.
+Every fingerprint lies within radius 1 of exactly one anchor, its home; it is replicated to all anchors within the
+covering radius plus the threshold of 1 (3.6 on average) and compared, per anchor, with those whose home it is, on
+sizes and 128 further minhash bits. An exact Jaccard check on the shingles of both texts follows.
 
-Two texts of similarity 0.6 differ in a fifth of the bits and meet in one table with probability 0.247 (simulated), in
-one of 32 with 0.9999; of 0.7 with more than 0.99999. The check bits turn away a true pair with less than 1e-6.
+There are as many anchors as there are distinct shingles, sixteen times over, so they grow with the collection and the
+number of texts at one anchor doesn't, but for texts that share the symbol: a passage that stands in a share of all texts
+gathers, for each of its shingles that is least, that share at sixteen anchors.
+
+Two texts of similarity j meet in one table with probability j times that of (1 - j) / 2 of seven bits leading to
+the same anchor: 0.43 at 0.6 (simulated in the tests), so in one of 20 with 0.99999. The check bits turn away a true
+pair with less than 1e-6.
 
 Chunks with the same shingle set form one class; only classes are compared, and a group of copies, of any size, costs
 one fingerprint. Defined results: null text and texts with fewer words than a shingle have no pairs; a chunk_ord
@@ -25,49 +31,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumq.session import cut
+from vellumq.session import dropped, saved
 from vellumq.sources.tables import chunks
 
 SHINGLE, SIMILARITY = 3, 0.6
-LENGTH, RADIUS, THRESHOLD, TABLES, CHECK_BITS = 23, 3, 1, 32, 256
-GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23
+LENGTH, RADIUS, THRESHOLD, TABLES, CHECK_BITS = 7, 1, 1, 20, 128
+GENERATOR, CHECKS = 0b1011, 3  # x^3 + x + 1 generates the binary Hamming code of length 7; three check bits
 _WORD = re.compile(r"[^\W_]+")
 
 
 def syndrome(w: np.ndarray) -> np.ndarray:
-    """Remainder of words of 23 bits by the generator."""
+    """Remainder of words of LENGTH bits by the generator."""
     w = w.copy()
-    for bit in range(LENGTH - 1, 10, -1):
-        w ^= ((w >> bit) & 1) * GENERATOR << (bit - 11)
+    for bit in range(LENGTH - 1, CHECKS - 1, -1):
+        w ^= ((w >> bit) & 1) * GENERATOR << (bit - CHECKS)
     return w
 
 
-class Golay:
-    """Home anchor of a word and all anchors within radius + threshold, from the error patterns of each syndrome."""
-
-    def __init__(self, reach: int = RADIUS + THRESHOLD) -> None:
-        found: list[list[int]] = [[] for _ in range(2048)]
-        self.home = np.zeros(2048, dtype=np.int64)
-        for weight in range(reach + 1):
-            errors = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(LENGTH), weight)], dtype=np.int64)
-            for e, s in zip(errors.tolist(), syndrome(errors).tolist()):
-                found[s].append(e)
-                if weight <= RADIUS:
-                    self.home[s] = e
-        self.count = np.array([len(x) for x in found])
-        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]])
-        self.errors = np.array([e for x in found for e in x], dtype=np.int64)
-
-    def homes(self, w: np.ndarray) -> np.ndarray:
-        return (w ^ self.home[syndrome(w)]) >> 11  # the message bits name the anchor
-
-    def reached(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into w, anchor) of all anchors within reach."""
-        s = syndrome(w)
-        n = self.count[s]
-        which = np.repeat(np.arange(len(w)), n)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[s], n)
-        return which, (w[which] ^ self.errors[at]) >> 11
+def anchors_of_words(reach: int = RADIUS + THRESHOLD) -> tuple[list[int], list[list[int]]]:
+    """For each word its home anchor and all anchors within reach, named by their message bits."""
+    words = np.arange(1 << LENGTH, dtype=np.int64)
+    code = [int(c) for c in words[syndrome(words) == 0]]
+    apart = lambda a, b: (a ^ b).bit_count()
+    home = [min(code, key=lambda c: apart(c, w)) >> CHECKS for w in words.tolist()]
+    return home, [[c >> CHECKS for c in code if apart(c, w) <= reach] for w in words.tolist()]
 
 
 def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
@@ -88,89 +75,103 @@ def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
 
 
 class Fingerprints:
-    """One-bit minhashes of shingle sets: TABLES words of 23 bits and the check bits."""
+    """Minhashes of shingle sets: for each table a symbol and a word of LENGTH bits, and the check bits."""
 
     def __init__(self, seed: int = 20) -> None:
         rng = np.random.default_rng(seed)
-        n = TABLES * LENGTH
+        n = TABLES * (LENGTH + 1)
         self.a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         self.weights = 1 << np.arange(LENGTH, dtype=np.int64)
 
-    def of(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
         for at in range(0, len(sh), 1024):  # bounded memory for long texts
             m = sh[at : at + 1024, None] * self.a + self.b
             least = np.minimum(least, (m ^ (m >> np.uint64(29))).min(axis=0))
-        bits = ((least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(60)).astype(np.int64) & 1
+        bits = ((least[TABLES:] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(60)).astype(np.int64) & 1
         words = bits.reshape(TABLES, LENGTH) @ self.weights
-        check = np.packbits(bits[:CHECK_BITS].astype(np.uint8)).view(np.int64)
-        return words, check
+        return least[:TABLES].view(np.int64), words, np.packbits(bits[:CHECK_BITS].astype(np.uint8)).view(np.int64)
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
-    """(key, digest, size, sh) of the texts that have shingles."""
+def fingerprinted(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
+    """(k, digest, size, c0, c1, symbols, words) of the texts that have shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        prints = Fingerprints()
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                sets = [shingles(t, n) for t in part["t"]]
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "digest": [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], "size": [len(s) for s in sets], "sh": [s.view(np.int64) for s in sets]}).query("size > 0")
+                rows = []
+                for k, t in zip(part["k"], part["t"]):
+                    sh = shingles(t, n)
+                    if len(sh):
+                        symbols, words, check = prints.of(sh)
+                        rows.append((k, xxhash.xxh128_digest(sh.tobytes()), len(sh), *check.tolist(), symbols, words.astype(np.int16)))
+                yield pd.DataFrame(rows, columns=["k", "digest", "size", "c0", "c1", "symbols", "words"])
 
     kind = df.schema[key].dataType.simpleString()
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    return some.mapInPandas(run, f"k {kind}, digest string, size int, sh array<bigint>")
+    return some.mapInPandas(run, f"k {kind}, digest binary, size int, c0 long, c1 long, symbols array<bigint>, words array<smallint>")
 
 
-def anchored(reps: DataFrame) -> DataFrame:
-    """(rep, c0..c3, home, reach): anchors as table * 4096 + message."""
+def most_apart(similarity: float) -> int:
+    """Check bits in which a pair may differ: one-bit minhashes differ with probability (1 - j) / 2, five deviations are let through."""
+    p = (1 - similarity) / 2
+    return int(CHECK_BITS * p + 5 * (CHECK_BITS * p * (1 - p)) ** 0.5)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, prints = Golay(), Fingerprints()
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                rows = []
-                for rep, sh in zip(part["rep"], part["sh"]):
-                    words, check = prints.of(np.asarray(sh, dtype=np.int64).view(np.uint64))
-                    which, anchors = code.reached(words)
-                    rows.append((rep, *check.tolist(), (np.arange(TABLES) * 4096 + code.homes(words)).astype(np.int32), (which * 4096 + anchors).astype(np.int32)))
-                yield pd.DataFrame(rows, columns=["rep", "c0", "c1", "c2", "c3", "home", "reach"])
 
-    kind = reps.schema["rep"].dataType.simpleString()
-    return reps.select("rep", "sh").mapInPandas(run, f"rep {kind}, c0 long, c1 long, c2 long, c3 long, home array<int>, reach array<int>")
+def met(reps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: texts compared at an anchor and not turned away by their sizes and check bits."""
+    homes, reaches = anchors_of_words()
+    home = F.array(*[F.lit(h).cast("int") for h in homes])
+    reach = F.array(*[F.array(*[F.lit(r).cast("int") for r in x]) for x in reaches])
+    x = reps.select(F.col("k"), "size", "c0", "c1", F.posexplode(F.arrays_zip("symbols", "words")).alias("no", "p")).select("k", "size", "c0", "c1", "no", F.col("p.symbols").alias("symbol"), (F.col("p.words") + 1).cast("int").alias("at"))
+    anchor = lambda message: F.xxhash64("no", "symbol", message)
+    here = x.select(F.col("k").alias("x"), F.col("size").alias("nx"), F.col("c0").alias("x0"), F.col("c1").alias("x1"), anchor(F.element_at(home, F.col("at"))).alias("anchor"))
+    there = x.withColumn("message", F.explode(F.element_at(reach, F.col("at")))).select(F.col("k").alias("y"), F.col("size").alias("ny"), F.col("c0").alias("y0"), F.col("c1").alias("y1"), anchor(F.col("message")).alias("anchor"))
+    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
+    sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity
+    near = here.join(there, "anchor").filter((F.col("x") != F.col("y")) & sizes & (apart <= most_apart(similarity)))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def class_links(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(members: key, rep), (links: a, b, jaccard with a < b between class representatives)."""
-    sets = cut(shingle_sets(df, key, text, shingle))
-    classes = sets.groupBy("digest").agg(F.min("k").alias("rep"))
-    members = cut(sets.select("k", "digest").join(classes, "digest").select(F.col("k").alias(key), "rep"))
-    reps = cut(sets.join(members.filter(F.col(key) == F.col("rep")).select("rep"), sets["k"] == F.col("rep")).select("rep", "size", "sh"))
-    points = cut(anchored(reps))
-    checks = ["c0", "c1", "c2", "c3"]
-    here = points.select(F.col("rep").alias("x"), *[F.col(c).alias("x" + c) for c in checks], F.explode("home").alias("anchor"))
-    there = points.select(F.col("rep").alias("y"), *[F.col(c).alias("y" + c) for c in checks], F.explode("reach").alias("anchor"))
-    # one-bit minhashes of a pair at similarity j differ with probability (1 - j) / 2; five deviations are let through
-    p = (1 - similarity) / 2
-    most = int(CHECK_BITS * p + 5 * (CHECK_BITS * p * (1 - p)) ** 0.5)
-    apart = sum(F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in checks)
-    met = here.join(there, "anchor").filter((F.col("x") != F.col("y")) & (apart <= most))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left = reps.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("sh").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("sh").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    j = pairs.join(left, "a").join(right, "b").filter((F.least("na", "nb") >= F.greatest("na", "nb") * similarity)).withColumn("i", both)
-    links = j.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).filter(F.col("jaccard") >= similarity)
-    return members, cut(links)
+    points = saved(fingerprinted(df, key, text, shingle))
+    classes = points.groupBy("digest").agg(F.min("k").alias("rep"))
+    members = saved(points.select("k", "digest").join(classes, "digest").select(F.col("k").alias(key), "rep"))
+    reps = points.join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
+    pairs = saved(met(reps, similarity))
+
+    @F.pandas_udf("double")
+    def jaccard(ta: pd.Series, tb: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+
+        def of(t: str) -> np.ndarray:
+            if t not in known:
+                known[t] = shingles(t, shingle)
+            return known[t]
+
+        both = [len(np.intersect1d(of(a), of(b), assume_unique=True)) for a, b in zip(ta, tb)]
+        return pd.Series([n / (len(of(a)) + len(of(b)) - n) for n, a, b in zip(both, ta, tb)], dtype=float)
+
+    # only texts that met another are looked up again
+    some = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    texts = saved(df.select(key, text).join(some, key, "left_semi").select(F.col(key).alias("k"), F.col(text).alias("t")))
+    j = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    links = saved(j.select("a", "b", jaccard("ta", "tb").alias("jaccard")).filter(F.col("jaccard") >= similarity))
+    for t in (points, pairs, texts):
+        dropped(t)
+    return members, links
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, group): least node of the connected component, by alternating large and small stars."""
-    e = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    """(node, group): least node of the connected component, by alternating large and small stars; each round's table
+    is removed when the next stands."""
+    e, mark = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -179,10 +180,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(low, "u")
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        new = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        same = new.join(e, ["u", "v"], "left_anti").limit(1).count() == 0 and e.join(new, ["u", "v"], "left_anti").limit(1).count() == 0
-        e = new
-        if same:
+        new = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        dropped(e)
+        e, before = new, mark
+        mark = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if mark == before:
             break
     to = e.groupBy("u").agg(F.min("v").alias("g"))
     return nodes.join(to, nodes["node"] == to["u"], "left").select("node", F.coalesce("g", "node").alias("group"))
@@ -190,12 +192,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     members, links = class_links(chunks(spark, folder), "chunk_ord", "text")
-    # a class is linked with itself where it has copies; pairs follow from membership
-    ab = links.select("a", "b").union(members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     x = members.select(F.col("rep").alias("a"), F.col("chunk_ord").alias("x"))
     y = members.select(F.col("rep").alias("b"), F.col("chunk_ord").alias("y"))
-    pairs = ab.join(x, "a").join(y, "b").filter("x != y").select(F.least("x", "y").alias("chunk_ord_a"), F.greatest("x", "y").alias("chunk_ord_b"))
-    return pairs.distinct()
+    between = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("chunk_ord_a"), F.greatest("x", "y").alias("chunk_ord_b"))
+    many = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"))
+    within = x.join(many, "a", "left_semi").join(y, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("chunk_ord_a"), F.col("y").alias("chunk_ord_b"))
+    return between.union(within)  # each pair of chunks is in one pair of classes only
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
