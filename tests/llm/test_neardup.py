@@ -16,8 +16,10 @@ def test_code_is_perfect_and_pairs_meet_often_enough():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 128, 40_000)
     y = x ^ ((rng.random((40_000, 7)) < 0.2) @ (1 << np.arange(7)))
-    one = 0.6 * np.mean([home[a] in reach[b] for a, b in zip(x.tolist(), y.tolist())])
-    assert abs(one - 0.43) < 0.01 and 1 - (1 - one) ** nd.TABLES > 0.99998
+    one = np.mean([home[a] in reach[b] or home[b] in reach[a] for a, b in zip(x.tolist(), y.tolist())])
+    assert abs(one - nd.MEET) < 0.01
+    assert [nd.symbols_for(n) for n in (0, 10**5, 10**6, 10**7, 10**9)] == [1, 1, 2, 3, 4]
+    assert all((1 - one * 0.6**k) ** nd.tables_for(k, 0.6) < 1e-4 for k in (1, 2, 3))
 
 
 def test_texts_that_share_nothing_never_meet(spark):
@@ -61,11 +63,12 @@ def family(rng, n, edits):
 def test_all_links_and_no_others(spark):
     rng = random.Random(5)
     texts = [t for _ in range(25) for t in family(rng, rng.randrange(30, 150), [0, 1, 2, 4, 6, 8])] + [None, "", "a b", "a b c", "A, b; c!", "a b c"]
-    members, links = nd.class_links(frame(spark, texts), "id", "t")
-    rep = {r["id"]: r["rep"] for r in members.collect()}
-    got = {(r["a"], r["b"]) for r in links.collect()}
-    want = {tuple(sorted((rep[a], rep[b]))) for a, b in exact(texts) if rep[a] != rep[b]}
-    assert got == want and len(want) > 100
+    for symbols in (None, 2):
+        members, links = nd.class_links(frame(spark, texts), "id", "t", symbols=symbols)
+        rep = {r["id"]: r["rep"] for r in members.collect()}
+        got = {(r["a"], r["b"]) for r in links.collect()}
+        want = {tuple(sorted((rep[a], rep[b]))) for a, b in exact(texts) if rep[a] != rep[b]}
+        assert got == want and len(want) > 100
     assert rep[len(texts) - 1] == rep[len(texts) - 2] == len(texts) - 3 and len(texts) - 4 not in rep
 
 

@@ -1,19 +1,18 @@
 """Problem 5: chunks that are nearly the same, by anchor-point covering.
 
-A chunk's set of word shingles gets `TABLES` fingerprints. A fingerprint is a symbol, the least shingle under the
-table's hash, and seven one-bit minhashes. The anchors of a table are the words of a covering code over that mixed
-alphabet: any symbol, followed by a word of the binary Hamming code of length 7, a perfect covering code of radius 1.
-Every fingerprint lies within radius 1 of exactly one anchor, its home; it is replicated to all anchors within the
-covering radius plus the threshold of 1 (3.6 on average) and compared, per anchor, with those whose home it is, on
-sizes and 128 further minhash bits. An exact Jaccard check on the shingles of both texts follows.
+A chunk's set of word shingles gets a fingerprint for each of several tables: a symbol, made of the least shingles
+under one or more hashes, and seven one-bit minhashes. The anchors of a table are the words of a covering code over that
+mixed alphabet: any symbol, followed by a word of the binary Hamming code of length 7, a perfect covering code of
+radius 1. Every fingerprint lies within radius 1 of exactly one anchor, its home; it is replicated to all anchors within
+the covering radius plus the threshold of 1 (3.6 on average) and compared, per anchor, with those whose home it is, on
+256 minhash bits. An exact Jaccard check on the shingles of both texts follows.
 
-There are as many anchors as there are distinct shingles, sixteen times over, so they grow with the collection and the
-number of texts at one anchor doesn't, but for texts that share the symbol: a passage that stands in a share of all texts
-gathers, for each of its shingles that is least, that share at sixteen anchors.
+There are as many anchors as shingles, sixteen times over, so anchors grow with the collection. Texts of similarity j
+share a symbol of k least shingles with probability j^k; unlike texts are compared only by that chance. `symbols_for`
+takes k from the number of texts, so that comparisons by chance stay in proportion where texts share single phrases.
 
-Two texts of similarity j meet in one table with probability j times that of (1 - j) / 2 of seven bits leading to
-the same anchor: 0.43 at 0.6 (simulated in the tests), so in one of 20 with 0.99999. The check bits turn away a true
-pair with less than 1e-6.
+Two texts of similarity 0.6 meet in one table with probability 0.79 * 0.6^k (simulated in the tests); `tables_for` takes
+as many tables as leave 3 in 100,000 such pairs unmet, and far fewer above 0.6. The check bits turn away less than 1e-6.
 
 Chunks with the same shingle set form one class; only classes are compared, and a group of copies, of any size, costs
 one fingerprint. Defined results: null text and texts with fewer words than a shingle have no pairs; a chunk_ord
@@ -22,9 +21,11 @@ repeated counts once.
 
 from __future__ import annotations
 
-import itertools
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,21 @@ from vellumq.session import dropped, saved
 from vellumq.sources.tables import chunks
 
 SHINGLE, SIMILARITY = 3, 0.6
-LENGTH, RADIUS, THRESHOLD, TABLES, CHECK_BITS = 7, 1, 1, 20, 128
+LENGTH, RADIUS, THRESHOLD, CHECK_BITS = 7, 1, 1, 256
+MEET, UNMET = 0.79, 3e-5  # chance that the words of a pair at similarity 0.6 meet; share of such pairs left out
 GENERATOR, CHECKS = 0b1011, 3  # x^3 + x + 1 generates the binary Hamming code of length 7; three check bits
 _WORD = re.compile(r"[^\W_]+")
 
 
+def symbols_for(texts: int) -> int:
+    """Least shingles to a symbol: 1 up to 200,000 texts, then one more for each twentyfold."""
+    return 1 if texts < 200_000 else 2 + int(math.log(texts / 200_000, 20))
+
+
+def tables_for(symbols: int, similarity: float) -> int:
+    return math.ceil(math.log(UNMET) / math.log(1 - MEET * similarity**symbols))
+
+
 def syndrome(w: np.ndarray) -> np.ndarray:
     """Remainder of words of LENGTH bits by the generator."""
     w = w.copy()
@@ -77,9 +88,10 @@ def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
 class Fingerprints:
     """Minhashes of shingle sets: for each table a symbol and a word of LENGTH bits, and the check bits."""
 
-    def __init__(self, seed: int = 20) -> None:
+    def __init__(self, tables: int, symbols: int = 1, seed: int = 20) -> None:
         rng = np.random.default_rng(seed)
-        n = TABLES * (LENGTH + 1)
+        self.tables, self.symbols = tables, symbols
+        n = tables * symbols + max(CHECK_BITS, tables * LENGTH)
         self.a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         self.weights = 1 << np.arange(LENGTH, dtype=np.int64)
@@ -87,20 +99,31 @@ class Fingerprints:
     def of(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
         for at in range(0, len(sh), 1024):  # bounded memory for long texts
-            m = sh[at : at + 1024, None] * self.a + self.b
-            least = np.minimum(least, (m ^ (m >> np.uint64(29))).min(axis=0))
-        bits = ((least[TABLES:] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(60)).astype(np.int64) & 1
-        words = bits.reshape(TABLES, LENGTH) @ self.weights
-        return least[:TABLES].view(np.int64), words, np.packbits(bits[:CHECK_BITS].astype(np.uint8)).view(np.int64)
+            m = sh[at : at + 1024, None] * self.a
+            m += self.b
+            m ^= m >> np.uint64(29)
+            least = np.minimum(least, m.min(axis=0))
+        cut = self.tables * self.symbols
+        bits = ((least[cut:] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(60)).astype(np.int64) & 1
+        words = bits[: self.tables * LENGTH].reshape(self.tables, LENGTH) @ self.weights
+        symbol = np.zeros(self.tables, dtype=np.uint64)
+        for part in least[:cut].reshape(self.symbols, self.tables):
+            symbol = (symbol ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            symbol ^= symbol >> np.uint64(32)
+        return symbol.view(np.int64), words, np.packbits(bits[:CHECK_BITS].astype(np.uint8)).view(np.int64)
+
+
+CHECK = ["c0", "c1", "c2", "c3"]
 
 
-def fingerprinted(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
-    """(k, digest, size, c0, c1, symbols, words) of the texts that have shingles."""
+def fingerprinted(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: float = SIMILARITY, symbols: int = 1) -> DataFrame:
+    """(k, digest, size, c0..c3, symbols, words) of the texts that have shingles."""
+    tables = tables_for(symbols, similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        prints = Fingerprints()
+        prints = Fingerprints(tables, symbols)
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
@@ -108,13 +131,13 @@ def fingerprinted(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataF
                 for k, t in zip(part["k"], part["t"]):
                     sh = shingles(t, n)
                     if len(sh):
-                        symbols, words, check = prints.of(sh)
-                        rows.append((k, xxhash.xxh128_digest(sh.tobytes()), len(sh), *check.tolist(), symbols, words.astype(np.int16)))
-                yield pd.DataFrame(rows, columns=["k", "digest", "size", "c0", "c1", "symbols", "words"])
+                        symbol, words, check = prints.of(sh)
+                        rows.append((k, xxhash.xxh128_digest(sh.tobytes()), len(sh), *check.tolist(), symbol, words.astype(np.int16)))
+                yield pd.DataFrame(rows, columns=["k", "digest", "size", *CHECK, "symbols", "words"])
 
     kind = df.schema[key].dataType.simpleString()
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    return some.mapInPandas(run, f"k {kind}, digest binary, size int, c0 long, c1 long, symbols array<bigint>, words array<smallint>")
+    return some.mapInPandas(run, f"k {kind}, digest binary, size int, {', '.join(c + ' long' for c in CHECK)}, symbols array<bigint>, words array<smallint>")
 
 
 def most_apart(similarity: float) -> int:
@@ -124,23 +147,22 @@ def most_apart(similarity: float) -> int:
 
 
 def met(reps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: texts compared at an anchor and not turned away by their sizes and check bits."""
+    """(a, b) with a < b: texts compared at an anchor and not turned away by their check bits."""
     homes, reaches = anchors_of_words()
     home = F.array(*[F.lit(h).cast("int") for h in homes])
     reach = F.array(*[F.array(*[F.lit(r).cast("int") for r in x]) for x in reaches])
-    x = reps.select(F.col("k"), "size", "c0", "c1", F.posexplode(F.arrays_zip("symbols", "words")).alias("no", "p")).select("k", "size", "c0", "c1", "no", F.col("p.symbols").alias("symbol"), (F.col("p.words") + 1).cast("int").alias("at"))
+    x = reps.select("k", *CHECK, F.posexplode(F.arrays_zip("symbols", "words")).alias("no", "p")).select("k", *CHECK, "no", F.col("p.symbols").alias("symbol"), (F.col("p.words") + 1).cast("int").alias("at"))
     anchor = lambda message: F.xxhash64("no", "symbol", message)
-    here = x.select(F.col("k").alias("x"), F.col("size").alias("nx"), F.col("c0").alias("x0"), F.col("c1").alias("x1"), anchor(F.element_at(home, F.col("at"))).alias("anchor"))
-    there = x.withColumn("message", F.explode(F.element_at(reach, F.col("at")))).select(F.col("k").alias("y"), F.col("size").alias("ny"), F.col("c0").alias("y0"), F.col("c1").alias("y1"), anchor(F.col("message")).alias("anchor"))
-    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
-    sizes = F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity
-    near = here.join(there, "anchor").filter((F.col("x") != F.col("y")) & sizes & (apart <= most_apart(similarity)))
+    here = x.select(F.col("k").alias("x"), *[F.col(c).alias("x" + c) for c in CHECK], anchor(F.element_at(home, F.col("at"))).alias("anchor"))
+    there = x.withColumn("message", F.explode(F.element_at(reach, F.col("at")))).select(F.col("k").alias("y"), *[F.col(c).alias("y" + c) for c in CHECK], anchor(F.col("message")).alias("anchor"))
+    apart = reduce(add, [F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in CHECK])
+    near = here.join(there, "anchor").filter((F.col("x") != F.col("y")) & (apart <= most_apart(similarity)))
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def class_links(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def class_links(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, shingle: int = SHINGLE, symbols: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members: key, rep), (links: a, b, jaccard with a < b between class representatives)."""
-    points = saved(fingerprinted(df, key, text, shingle))
+    points = saved(fingerprinted(df, key, text, shingle, similarity, symbols_for(df.count()) if symbols is None else symbols))
     classes = points.groupBy("digest").agg(F.min("k").alias("rep"))
     members = saved(points.select("k", "digest").join(classes, "digest").select(F.col("k").alias(key), "rep"))
     reps = points.join(classes.select(F.col("rep").alias("k")), "k", "left_semi")
