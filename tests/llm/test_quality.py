@@ -44,11 +44,11 @@ KIND = "block_id long, doc_id string, block_ord int, text string, junk_x int"
 
 
 def world(spark):
-    """Documents of prose and junk; texts checked by hand serve as both."""
+    """Documents of prose and junk like the texts checked by hand, which no training takes as they are."""
     rows, n = [], 0
     for d in range(12):
         for i, (t, y) in enumerate(q.CHECKED):
-            rows.append((n, f"d{d}", i, t.replace("the", "the") if y else t + f" Dose {d} was given to the patient by the doctor in the morning.", y))
+            rows.append((n, f"d{d}", i, f"{t} {d}" if y else t + f" Dose {d} was given to the patient by the doctor in the morning.", y))
             n += 1
     return spark.createDataFrame(rows, KIND)
 
@@ -58,7 +58,7 @@ def test_blocks_and_chunks(spark):
     rows = b.select("junk", "junk_x", "n_words").collect()
     right = [(r["junk"] > 0.5) == (r["junk_x"] == 1) for r in rows]
     assert np.mean(right) > 0.97
-    prose, junk = q.CHECKED[0][0], q.CHECKED[26][0]
+    prose, junk = q.CHECKED[0][0], q.CHECKED[110][0]
     c = spark.createDataFrame([(1, "zz_0", " ".join([prose] * 3)), (2, "zz_1", " ".join([junk.replace("\t", " ")] * 4)), (3, "zz_2", None), (4, "zz_3", "")], "chunk_ord long, chunk_id string, text string")
     got = {r["chunk_ord"]: r["share"] for r in q.chunk_shares(c, b, model).collect()}
     assert got[1] < 0.5 and got.get(4) in (None, 0.0) and 3 not in got
@@ -74,6 +74,23 @@ def test_traced_chunks_use_their_blocks(spark):
     assert q.chunk_shares(c, s, model).count() == c.count()
 
 
+def test_holdout_is_not_trained_on(spark):
+    """With the checked blocks' labels turned round among the rows, nothing changes: they are left out."""
+    from pyspark.sql import functions as F
+
+    w = world(spark)
+    with_held = w.unionByName(spark.createDataFrame([(10_000 + i, "h", i, t, y) for i, (t, y) in enumerate(q.CHECKED)], KIND))
+    a, b = q.block_scores(w)[0], q.block_scores(with_held)[0]
+    assert a.join(b.select("block_id", F.col("junk").alias("other")), "block_id").filter("abs(junk - other) > 1e-12").count() == 0
+
+
+def test_errors_on_the_holdout(spark):
+    """The checked blocks, scored by a model that hasn't seen them."""
+    w = world(spark).unionByName(spark.createDataFrame([(10_000 + i, "h", i, t, y) for i, (t, y) in enumerate(q.CHECKED)], KIND))
+    rows = q.block_scores(w)[0].filter("doc_id = 'h'").select("junk", "junk_x").collect()
+    assert sum((r["junk"] > 0.5) != (r["junk_x"] == 1) for r in rows) <= 2 and len(rows) == len(q.CHECKED)
+
+
 def test_null_and_empty(spark):
     b = spark.createDataFrame([(1, "d", 0, None, 0), (2, "d", 1, "  ", 0)], KIND)
     s, _ = q.block_scores(b)

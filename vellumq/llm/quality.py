@@ -1,8 +1,8 @@
 """Problem 2: text statistics of every block and chunk that tell natural prose from tables, lists and garbage.
 
 Statistics are computed on Arrow batches. Rules that are sure of themselves label part of the blocks as prose or junk; gradient-
-boosted trees learn the labels from a bounded sample (`TRAIN` rows a label, chosen by hash) and score every block; the
-probabilities are calibrated on texts checked by hand. A chunk is judged by the words its blocks give it.
+boosted trees learn the labels from a bounded sample (`TRAIN` junk and `PROSE` prose rows, chosen by hash) and score every block; the
+probabilities are calibrated on blocks checked by hand (`checked`), which no training sample holds. A chunk is judged by the words its blocks give it.
 
 Defined results: null or blank text has all statistics 0 and junk probability 0; a block_id or chunk_ord repeated counts
 once; a chunk whose words can't be traced to blocks is judged by its own text in stretches of 30 words; ties (exactly
@@ -21,18 +21,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumq.llm.boosting import Boosted
+from vellumq.llm.checked import CHECKED
 from vellumq.operators.chunking import members, split_words
 from vellumq.session import saved
 from vellumq.sources.tables import blocks, chunks
 
-TRAIN, MIN_WORDS = 3000, 12
+TRAIN, PROSE, TREES, MIN_WORDS = 3000, 9000, 100, 12
 
 # Frequent function words of the languages in question.
 COMMON = set(
     "a an and are as at be been but by can do for from has have if in into is it its may more must not of on or other should than that the their these they this "
     "to was were when which who will with within you your "
-    "der die das den dem ein eine einer eines und oder nicht mit bei von zu zur zum im ist sind wird werden kann sollte nach durch auf für wenn sie ihren bitte es "
-    "le la les un une des du de et ou ne pas avec par pour dans sur est sont si vous votre ce cette au aux chez qui se "
+    "der die das den dem ein eine einer eines und oder nicht mit bei von zu zur zum im ist sind wird werden kann sollte nach durch auf für wenn sie ihren bitte es an am bis muss sehr "
+    "le la les un une des du de et ou ne pas avec par pour dans sur est sont si vous votre ce cette au aux chez qui que se être peut doit dès "
     "el los las una y o no con por para en es son si su este esta del al como más se "
     "os as um uma e não com por para em é são se seu este esta do da dos das ao "
     "il lo gli un una e o non con per in è sono se questo questa del della dei nel al "
@@ -43,14 +44,14 @@ COMMON = set(
 
 STATS = [
     "n_words", "n_lines", "mean_word", "max_word", "words_per_line", "symbol_ratio", "digit_ratio", "letter_ratio", "upper_ratio", "space_ratio",
-    "line_end_share", "bullet_share", "short_line_share", "cell_share", "common_share", "number_word_share", "vowel_ratio", "no_vowel_share", "dots", "distinct_share", "kana_ratio", "slash_share", "mixed_share",
+    "line_end_share", "bullet_share", "short_line_share", "cell_share", "common_share", "number_word_share", "vowel_ratio", "no_vowel_share", "dots", "distinct_share", "kana_ratio", "slash_share", "mixed_share", "odd_letters",
 ]
 
 
 _BULLET = re.compile(r"\s*(?:[-–—•*·▪o●■‣]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)]|\([ivx]+\))\s+\S")
 _CELLS = re.compile(r"\t| {2,}|\|")
 _DOTS = re.compile(r"(?:\. ?){4,}")
-_LETTER, _UPPER, _DIGIT, _SPACE, _ODD, _VOWEL, _CONSONANT, _KANA, _MARK, _END = (1 << i for i in range(10))
+_LETTER, _UPPER, _DIGIT, _SPACE, _ODD, _VOWEL, _CONSONANT, _KANA, _MARK, _END, _SELDOM = (1 << i for i in range(11))
 
 
 @functools.cache
@@ -64,7 +65,7 @@ def char_table() -> tuple[np.ndarray, np.ndarray]:
         f = 0
         if kind[0] == "L":
             lower = c.lower()
-            f |= _LETTER | (_UPPER if kind == "Lu" else 0) | (_CONSONANT if lower in "bcdfghjklmnpqrstvwxz" else 0)
+            f |= _LETTER | (_UPPER if kind == "Lu" else 0) | (_CONSONANT if lower in "bcdfghjklmnpqrstvwxz" else 0) | (_SELDOM if lower in "jkqvwxyz" else 0)
             if lower in "aeiouyäöüåáéíóúâêôàèìòùãõаеёиоуыэюя" or "぀" <= c <= "ヿ":
                 f |= _VOWEL
             low[i] = ord(lower[0])
@@ -141,7 +142,7 @@ def statistics(texts: list[str]) -> np.ndarray:
         rank += 1
         live = live[count[live] > rank]
     spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    common = (count > 0) & (known[spot] == h)
+    common = (count > 0) & (known[spot] == h) & (per_word(digit) == 0)  # the letters of a code are no word
     by = lambda mask: np.bincount(w_text[mask], minlength=n).astype(float)
     _, once = np.unique(h * np.uint64(0x9E3779B97F4A7C15) + w_text.astype(np.uint64), return_index=True)
     distinct = np.bincount(w_text[once], minlength=n).astype(float)
@@ -190,6 +191,7 @@ def statistics(texts: list[str]) -> np.ndarray:
         "kana_ratio": over(per_text(has(_KANA)), solid),
         "slash_share": over(by(per_word(has(_MARK)) > 0), n_words),
         "mixed_share": over(by(per_word(near) > 0), n_words),
+        "odd_letters": over(per_text(has(_SELDOM)), letters),  # a tenth of the letters of prose, near a third of random ones
     }
     return np.stack([cols[s] for s in STATS], 1)
 
@@ -221,73 +223,28 @@ def weak_label() -> Column:
     list_ = (c("n_lines") >= 3) & (c("bullet_share") >= 0.7) & (c("words_per_line") <= 6) & (c("line_end_share") <= 0.3)
     short = (c("n_lines") >= 5) & (c("short_line_share") >= 0.8) & (c("common_share") <= 0.1)
     contents = (c("dots") >= 2) & (c("common_share") <= 0.2) & (c("n_lines") >= 2)
-    noise = (c("symbol_ratio") >= 0.3) | (c("max_word") >= 120) | ((c("no_vowel_share") >= 0.35) & (c("common_share") <= 0.03) & (c("kana_ratio") < 0.05)) | ((c("slash_share") >= 0.4) & (c("common_share") <= 0.05))
+    noise = (c("symbol_ratio") >= 0.3) | (c("max_word") >= 120) | ((c("no_vowel_share") >= 0.35) & (c("common_share") <= 0.03) & (c("kana_ratio") < 0.05)) | ((c("slash_share") >= 0.4) & (c("common_share") <= 0.05)) | ((c("odd_letters") >= 0.24) & (c("common_share") <= 0.15) & (c("n_words") >= 8))
     code = (c("mixed_share") >= 0.5) & (c("common_share") <= 0.05) & (c("n_words") >= 4)
     junk = (c("n_words") >= 4) & (table_ | list_ | short | contents | code) | (c("n_words") >= 3) & noise | (c("max_word") >= 300)
     prose = (c("common_share") >= 0.25) & (c("digit_ratio") <= 0.1) & (c("bullet_share") <= 0.3) & (c("cell_share") <= 0.2) & (c("symbol_ratio") <= 0.05) & (c("words_per_line") >= 6) & (c("n_words") >= 8)
+    # lines of paragraphs: few function words beside names and figures, but nothing of a table, a list or garbage
+    words = (c("number_word_share") <= 0.35) & (c("symbol_ratio") <= 0.05) & (c("cell_share") == 0) & (c("bullet_share") == 0) & (c("dots") == 0) & (c("slash_share") <= 0.1) & (c("mixed_share") <= 0.1) & (c("odd_letters") <= 0.18)
+    prose = prose | words & (c("common_share") >= 0.1) & (c("words_per_line") >= 6) & (c("n_words") >= 8)
     japanese = (c("kana_ratio") >= 0.3) & (c("symbol_ratio") <= 0.15) & (c("bullet_share") <= 0.3)
     return F.when(junk & ~(prose | japanese), 1).when((prose | japanese) & ~junk, 0)
 
 
-# Checked by hand: (text, 1 for a table, a list or garbage). Written for this file in the manner of the data.
-CHECKED = [
-    ("The elimination half-life is about 30.5 hours in patients with a recent stroke, and no further action was needed.", 0),
-    ("Patients should be told to report joint pain, mouth ulcers or dry mouth to their doctor right away.", 0),
-    ("In most cases, an increase in bone density of more than 26.6% was observed in 459 of the patients.", 0),
-    ("doctor right away. Concomitant use of both is contraindicated in adults over 65 years of age. The effect on", 0),
-    ("of 416 patients with ulcerative colitis were treated for up to 6 weeks. At the recommended dose, fatigue was", 0),
-    ("stopping were palpitations (60.2%), tinnitus (48.5%) and decreased appetite (38.3%).", 0),
-    ("Während der Behandlung sollten die Blutwerte alle 11 Wochen kontrolliert werden (Zabemdol 5 mg, n = 2011).", 0),
-    ("Tenir ce médicament hors de la vue des enfants et à une température inférieure à 80 degrés.", 0),
-    ("No existen datos suficientes sobre el uso de este medicamento en mujeres embarazadas.", 0),
-    ("治療中は13週間ごとに血液検査を行い、肝機能を確認する必要があります。", 0),
-    ("この薬の服用中に頭痛やめまいがあらわれた場合は、すぐに医師に相談してください。", 0),
-    ("Pharmacist: dispense with the attached medication guide, form 4039", 0),
-    ("This information does not replace the advice of a physician", 0),
-    ("Distributed by Brindlemoor Generics, Sunder Bay. All rights reserved. Rev. 7743", 0),
-    ("National compendium of medicines, sheet 6785, printed 08.04.2016", 0),
-    ("Published for the formulary board by Tessamil Pharma in Millvane", 0),
-    ("Reference ID 2819: label as submitted by Sarnova Biologics", 0),
-    ("See full prescribing information for the complete boxed warning (904)", 0),
-    ("Tap here to send this page to a friend or colleague", 0),
-    ("Orvane Laboratories - this copy may not be the latest approved version - 5/6/2023", 0),
-    ("Printed in Greyhollow on recycled paper, batch 6279-4757", 0),
-    ("To report side effects call Orvane Laboratories at 555-0112", 0),
-    ("Full prescribing information for Broannost capsules", 0),
-    ("Store below 12.5 degrees and keep it out of the reach of children.\nTell your pharmacist if you are taking any other medicine.", 0),
-    ("Monitor intraocular pressure evcry 21 vveeks in pregnant wornen who take this and 5hould not be startecl", 0),
-    ("No part of this work may be copied for resale\nThe safety in volume-depleted patients has not been established.", 0),
-    ("thyroid function\t10.3 (35.2)\t4.0 (58.7)\t24.3 (17.5)\t60.9\nfasting glucose\t34.1\t2.0\t60.1 (41.1)\t14.4\t18.7", 1),
-    ("750 mg | 53.5 | 3.7 | 21.5 | 55.8 (21.0) | 51.9 (3.0)\n50 mg | 50.8 (4.5) | 47.0 | 40.0", 1),
-    ("bilirubin  19.2  52.7  41.8\nheart rate  55.8 (14.6)  60.3 (47.1)  18.3 (37.7)", 1),
-    ("Nausea\t51.1 (50.8)\t60.4 (47.3)\t38.0\t48.0 (50.7)", 1),
-    ("1. diarrhea\n2. white cell counts 10\n3. serum potassium 850\n4. weight gain\n5. Cyrantam\n6. hypotension", 1),
-    ("(a) hemoglobin 1000\n(a) body weight 15\n(a) flatulence\n(a) blurred vision", 1),
-    ("- prothrombin time 2.5\n- dry mouth\n- flushing\n- intraocular pressure 7.5\n- hiccups", 1),
-    ("o dizziness\no nausea\no dry mouth\no back pain\no Loraphar", 1),
-    ("cough\nheadache\ndecreased appetite\nblurred vision\npalpitations\nLorithvex", 1),
-    ("15.1 Renal impairment . . . . . . 43\n4.2 Description . . . . . . . . . . . . . . 13\n7.1 Mechanism of action . . . . . . . . 58", 1),
-    ("/F73 478.94 /Im72 601.85 /Cs67 248.61 /Im68 149.30 /Td99 80.08 /Gs49 512.54", 1),
-    ("!;'' =l .~;' `|i `l' `':= _ ^ `l|~! |_ '=~ ||; ='", 1),
-    ("cqbmx ldsomurj ibxrox afnbbnzax btdhc bp jtbxuj srq fvvp evm tlwbnuzo sdlrm", 1),
-    ("a2a7e8f458&#160 78f70640da&#160 57259b4e8a</td> d0261959abÃ© 7fdffce6a1 68344b22f1Ã©", 1),
-    ("1AaEI/G8uA/S00nWyFtvfxqYplCXncx6RBbrlfTQ/5XroIhrEu05rf64BySEVP2zBQ1Fw3h2kSX7S742veTrmXL3pIwigPPblYyhcLcZE9peah915Az9Pkvi2c5u/hLkWZN3f6wMWp+NV+c4zUoRJp", 1),
-    ("No part of this work may be copied for resale\ncough\t27.1\t7.1\t47.1 (19.3)\nNight sweats\t38.8\t46.3\t38.0\nTremor\t7.6\t49.5 (61.9)", 1),
-]
-
-
 def train(stats: DataFrame) -> Boosted:
-    """Trees on weak labels of at most about 2 x TRAIN rows, calibrated on the texts checked by hand."""
-    labelled = stats.select(*STATS, weak_label().alias("y")).filter("y is not null")
+    """Trees on weak labels of at most about TRAIN junk and PROSE prose rows, none of them `held`, calibrated on the blocks checked by
+    hand. Where the weak labels have one class only, half of the checked blocks train and the other half calibrates."""
+    labelled = stats.filter("not held").select(*STATS, weak_label().alias("y")).filter("y is not null")
     n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, min(1.0, TRAIN / max(n.get(1, 1), 1))).otherwise(min(1.0, TRAIN / max(n.get(0, 1), 1)))
-    picked = labelled.filter(F.pmod(F.xxhash64(*STATS), F.lit(1 << 30)) < share * (1 << 30))
-    held = with_stats(stats.sparkSession.createDataFrame([(i, t, y) for i, (t, y) in enumerate(CHECKED)], "id int, text string, y int")).orderBy("id")
-    h = held.select(*STATS, "y").toPandas()
-    p = picked.toPandas().sort_values([*STATS, "y"])
-    if p["y"].nunique() < 2:  # too little to learn from: the checked texts alone
-        p = h
-    return Boosted().fit(p[STATS].to_numpy(), p["y"].to_numpy()).calibrate(h[STATS].to_numpy(), h["y"].to_numpy())
+    share = F.when(F.col("y") == 1, min(1.0, TRAIN / max(n.get(1, 1), 1))).otherwise(min(1.0, PROSE / max(n.get(0, 1), 1)))
+    p = labelled.filter(F.pmod(F.xxhash64(*STATS), F.lit(1 << 30)) < share * (1 << 30)).toPandas().sort_values([*STATS, "y"])
+    x, y = statistics([t for t, _ in CHECKED]), np.array([label for _, label in CHECKED])
+    if p["y"].nunique() < 2:
+        return Boosted(TREES).fit(x[::2], y[::2]).calibrate(x[1::2], y[1::2])
+    return Boosted(TREES).fit(p[STATS].to_numpy(), p["y"].to_numpy()).calibrate(x, y)
 
 
 def scored(stats: DataFrame, model: Boosted) -> DataFrame:
@@ -304,9 +261,10 @@ def scored(stats: DataFrame, model: Boosted) -> DataFrame:
 
 def block_scores(b: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, Boosted]:
     """(blocks with STATS and `junk`, the model); `keep`: the columns of b to carry on, else all."""
-    s = saved(with_stats(b).select(*(b.columns if keep is None else keep), *STATS))
+    held = F.coalesce(F.col("text").isin([t for t, _ in CHECKED]), F.lit(False)).alias("held")
+    s = saved(with_stats(b).select(*(b.columns if keep is None else keep), *STATS, held))
     model = train(s)
-    return scored(s, model), model
+    return scored(s.drop("held"), model), model
 
 
 def chunk_shares(c: DataFrame, b: DataFrame, model: Boosted) -> DataFrame:
