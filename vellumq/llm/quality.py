@@ -287,6 +287,7 @@ def chunk_shares(c: DataFrame, b: DataFrame, model: Boosted) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     # the texts aren't needed once their statistics are there
     b, model = block_scores(blocks(spark, folder).select("block_id", "doc_id", "block_ord", "text"), ["block_id", "doc_id", "block_ord"])
+    b = saved(b.select("block_id", "doc_id", "block_ord", "n_words", "junk"))
     bad = b.filter((F.col("n_words") >= MIN_WORDS) & (F.col("junk") > 0.5)).select(F.lit("block").alias("rec_kind"), F.col("block_id").alias("rec_id"))
     c = chunk_shares(chunks(spark, folder), b, model).filter("share > 0.5").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_ord").alias("rec_id"))
     return bad.union(c)
