@@ -52,8 +52,8 @@ def test_exact_windows_against_brute_force(spark):
         for j in range(len(d) - 12):
             want |= {(i, k) for k in grams.get(tuple(d[j : j + 13]), ())}
     texts = [", *".join(d).upper() for d in docs]
-    for block in (100, 3):
-        got = run(spark, texts, [" ".join(x) for x in items], block=block).filter("distance = 0").select("doc", "item").distinct().collect()
+    for chars in (10_000, 300, 60):  # one block, several in one pass, several passes
+        got = run(spark, texts, [" ".join(x) for x in items], block_chars=chars).filter("distance = 0").select("doc", "item").distinct().collect()
         assert {tuple(r) for r in got} == want and want
 
 

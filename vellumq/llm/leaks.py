@@ -3,7 +3,7 @@
 Each test item is covered by all its windows of `window` words. A window with an error budget of e words is split
 into e + 1 pieces; a text within e word edits of the window holds one of them exactly. Texts are scanned once for all
 pieces through hashed word n-grams, and every hit is verified with Myers' bit-parallel edit distance of the window
-against the text around the hit. Items are a small stated set, taken in blocks against all rows.
+against the text around the hit. Items are a stated set, taken in blocks against all rows.
 
 Words are the longest runs of letters and digits of the lower-cased text. Defined results: null or short texts and
 items shorter than the window give nothing; repeated items and documents count once; extra columns don't matter.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellumq.sources.tables import table
 
-WINDOW, ERRORS, BLOCK = 13, 1, 20_000
+WINDOW, ERRORS, BLOCK_CHARS, BLOCKS = 13, 1, 5_000_000, 8
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,57 +91,76 @@ class Index:
             order = np.argsort(k, kind="stable")
             self.tables[n] = (k[order], w[order])
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, window, place, distance) of every verified window."""
-        get = self.vocab.get
-        ids = np.fromiter((get(w, 0) for w in words(text)), dtype=np.int64)
-        if np.count_nonzero(ids) < min(self.sizes):
-            return []
-        seen: set[tuple[int, int, int]] = set()
+    def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(number of the text, item, window, place, distance) of every verified window.
+
+        The texts' words stand in one array, kept apart by words of no item, so pieces are looked up for all at once.
+        """
+        get, apart = self.vocab.get, [0] * self.window
+        flat: list[int] = []
+        begins, ends = [], []
+        for t in texts:
+            begins.append(len(flat))
+            flat += [get(w, 0) for w in words(t)]
+            ends.append(len(flat))
+            flat += apart
+        ids = np.array(flat, dtype=np.int64)
+        found = [np.zeros((0, 3), dtype=np.int64)]
         for n, (keys, where) in self.tables.items():
             g = _grams(ids, n)
             if not len(g) or not len(keys):
                 continue
-            lo = np.searchsorted(keys, g, "left")
-            found = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == g))
-            hi = np.searchsorted(keys, g[found], "right")
-            for p, a, b in zip(found.tolist(), lo[found].tolist(), hi.tolist()):
-                for i, start, at in where[a:b].tolist():
-                    seen.add((i, start, p - at))
-        out = []
-        for i, start, place in seen:
+            # a piece holds known words only
+            known = np.convolve(ids == 0, np.ones(n, dtype=np.int64), "valid") == 0
+            at = np.flatnonzero(known)
+            lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
+            count = hi - lo
+            p = np.repeat(at, count)
+            which = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            w = where[which]
+            found.append(np.stack([w[:, 0], w[:, 1], p - w[:, 2]], 1))
+        out, starts = [], np.array(begins)
+        seen = np.unique(np.concatenate(found), axis=0)
+        # the text a piece stands in: a place before its begin belongs to a window that runs over it
+        for i, start, place in seen.tolist():
+            no = int(np.searchsorted(starts, place + self.window - 1, "right")) - 1
             item, item_ids = self.ids[i]
-            pattern = item_ids[start : start + self.window]
-            around = ids[max(0, place - self.errors) : max(0, place + self.window + self.errors)]
-            d = myers(pattern, around)
+            d = myers(item_ids[start : start + self.window], ids[max(begins[no], place - self.errors) : min(ends[no], place + self.window + self.errors)])
             if d <= self.errors:
-                out.append((item, start, place, d))
+                out.append((no, item, start, place - begins[no], d))
         return out
 
 
-def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, errors: int = ERRORS, block: int = BLOCK) -> DataFrame:
+def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, item, window_no, place, distance): windows of items that stand in texts with up to `errors` word edits.
 
-    The items are collected, `block` at a time, and sent to the executors; each block is one pass over the texts.
+    The items are collected in blocks of about `block_chars` characters; each block's index is built once, on the
+    driver, and sent to the executors. One pass over the texts looks them up in up to `BLOCKS` indexes, so what is sent
+    at once is bounded; more items are more passes.
     """
     if not 1 <= window <= 64 or not 0 <= errors < window:
         raise ValueError("windows have 1 to 64 words and fewer errors than words")
     spark = df.sparkSession
     chosen = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").groupBy("i").agg(F.max("t").alias("t"))
-    n = chosen.count()
-    blocks_ = max(1, -(-n // block))
+    size = chosen.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_chars))
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     some = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
     out = None
-    for no in range(blocks_):
-        part = [(r["i"], r["t"]) for r in chosen.filter(F.pmod(F.xxhash64("i"), F.lit(blocks_)) == no).collect()]
-        sent = spark.sparkContext.broadcast(part)
+    for at in range(0, blocks, BLOCKS):
+        sent = []
+        for no in range(at, min(blocks, at + BLOCKS)):
+            part = [(r["i"], r["t"]) for r in chosen.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == no).collect()]
+            sent.append(spark.sparkContext.broadcast(Index(part, window, errors)))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value, window, errors)
+            indexes = [x.value for x in sent]
             for b in batches:
-                rows = [(k, *h) for k, t in zip(b["k"], b["t"]) for h in index.hits(t)]
-                yield pd.DataFrame(rows, columns=["k", "i", "window_no", "place", "distance"])
+                for start in range(0, len(b), 256):
+                    p = b.iloc[start : start + 256]
+                    ks, texts = p["k"].tolist(), p["t"].tolist()
+                    rows = [(ks[no], *h) for index in indexes for no, *h in index.hits(texts)]
+                    yield pd.DataFrame(rows, columns=["k", "i", "window_no", "place", "distance"])
 
         found = some.mapInPandas(scan, f"k {kind}, i {item_kind}, window_no long, place long, distance int")
         out = found if out is None else out.union(found)
