@@ -105,15 +105,20 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
 
 
-def cut_text(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """(key, piece_no, n_pieces, text, word_from, word_to, core_from): pieces in order; word offsets include the overlap."""
+def cut_cores(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """(k, no, back, core): each piece's overlap and core; the cores of a text joined in order are the text."""
     if not 0 <= overlap < max_words or not 0 <= overlap_chars < max_chars:
         raise ValueError("the overlap must be smaller than the limits")
     t = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
     whole = (word_count(F.col("t")) <= max_words) & (F.length("t") <= max_chars)
     by_words = F.regexp_extract_all("t", F.lit(word_pattern(max_words - overlap)), F.lit(0))
     one = F.array(F.struct(F.lit("").alias("back"), F.col("t").alias("core")))
-    p = t.select("k", F.posexplode(F.when(whole, one).otherwise(_fold(by_words, max_chars, overlap, overlap_chars))).alias("no", "piece")).select("k", "no", "piece.*")
+    return t.select("k", F.posexplode(F.when(whole, one).otherwise(_fold(by_words, max_chars, overlap, overlap_chars))).alias("no", "piece")).select("k", "no", "piece.*")
+
+
+def cut_text(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """(key, piece_no, n_pieces, text, word_from, word_to, core_from): pieces in order; word offsets include the overlap."""
+    p = cut_cores(df, key, text, max_words, max_chars, overlap, overlap_chars)
     w = Window.partitionBy("k").orderBy("no")
     p = p.withColumn("cw", word_count(F.col("core"))).withColumn("bw", word_count(F.col("back")))
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -161,3 +166,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.when(one, F.col("page_end")).otherwise(F.coalesce("p1", "page_end")).alias("page_end"),
         F.when(one, F.to_json("regions")).otherwise(F.to_json("share")).alias("regions_json"),
     )
+
+
+def p4_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: chunks with text, and those whose pieces break a rule; all but the first are 0. The cores joined are the
+    text, no piece exceeds a limit, and each overlap is what stands before its core, of 30 words at most."""
+    c = chunks(spark, folder).select("chunk_ord", "text")
+    p = cut_cores(c, "chunk_ord", "text").join(c.withColumnRenamed("chunk_ord", "k"), "k")
+    w = Window.partitionBy("k").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("start", F.coalesce(F.sum(F.length("core")).over(w), F.lit(0))).withColumn("piece", F.regexp_replace(F.concat("back", "core"), r"(?U)\s+\z", ""))
+    big = (word_count(F.col("piece")) > MAX_WORDS) | (F.length("piece") > MAX_CHARS)
+    away = F.expr("substring(text, start + 1, length(core))") != F.col("core")
+    loose = (F.expr("substring(text, start + 1 - length(back), length(back))") != F.col("back")) | (word_count(F.col("back")) > OVERLAP)
+    g = p.groupBy("k").agg(F.max(big.cast("int")).alias("big"), F.max(away.cast("int")).alias("away"), F.max(loose.cast("int")).alias("loose"), (F.sum(F.length("core")) != F.max(F.length("text"))).cast("int").alias("short"))
+    n = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    return g.agg(F.count("*").alias("chunks"), n("big", "over_a_limit"), n(F.greatest("away", "short"), "not_rejoined"), n("loose", "other_overlap"))
