@@ -37,11 +37,11 @@ _NEAR = f"""dall as (select doc_id, {_W} as ws from documents where text is not
     sharing as (select distinct doc_id from (select doc_id, unnest([array_to_string(ws[k:(k + 5)], ' ') for k in generate_series(1, len(ws) - 5)]) as g from dall where len(ws) >= 6) join six using (g)),
     d as (select * from dall where doc_id in (select doc_id from sharing)),
     p as (select item_id, k - 1 as no, ws[k:(k + 12)] as g from (select item_id, ws, unnest(generate_series(1, len(ws) - 12)) as k from t where len(ws) >= 13)),
-    dk as (select doc_id, ws, unnest(generate_series(1, len(ws) - 11)) as k from d where len(ws) >= 12), j as (select unnest(generate_series(1, 14)) as j),
-    same as (select distinct doc_id, array_to_string(ws[k:(k + 12)], ' ') as g from dk where k + 12 <= len(ws)),
-    text_ as (select distinct doc_id, 'sub' || j || ' ' || array_to_string(list_concat(ws[k:(k + j - 2)], ws[(k + j):(k + 12)]), ' ') as g from dk cross join j where j <= 13 and k + 12 <= len(ws)
-        union select distinct doc_id, 'del ' || array_to_string(ws[k:(k + 11)], ' ') from dk
-        union select distinct doc_id, 'ins ' || array_to_string(list_concat(ws[k:(k + j - 2)], ws[(k + j):(k + 13)]), ' ') from dk cross join j where j between 2 and 13 and k + 13 <= len(ws)),
+    dk as (select doc_id, unnest([ws[k:(k + 13)] for k in generate_series(1, len(ws) - 11)]) as g from d where len(ws) >= 12), j as (select unnest(generate_series(1, 14)) as j),
+    same as (select distinct doc_id, array_to_string(g[1:13], ' ') as g from dk where len(g) >= 13),
+    text_ as (select distinct doc_id, 'sub' || j || ' ' || array_to_string(list_concat(g[1:(j - 1)], g[(j + 1):13]), ' ') as g from dk cross join j where j <= 13 and len(g) >= 13
+        union select distinct doc_id, 'del ' || array_to_string(g[1:12], ' ') from dk
+        union select distinct doc_id, 'ins ' || array_to_string(list_concat(g[1:(j - 1)], g[(j + 1):14]), ' ') from dk cross join j where j between 2 and 13 and len(g) = 14),
     item as (select item_id, no, 'sub' || j || ' ' || array_to_string(list_concat(g[1:(j - 1)], g[(j + 1):13]), ' ') as g from p cross join j where j <= 13
         union all select item_id, no, 'del ' || array_to_string(list_concat(g[1:(j - 1)], g[(j + 1):13]), ' ') from p cross join j where j <= 13
         union all select item_id, no, 'ins ' || array_to_string(g, ' ') from p),
