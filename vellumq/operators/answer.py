@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -51,6 +54,11 @@ def citations(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return x.withColumn("citation", line).drop("source_file", "page_start", "page_end", "regions")
 
 
+def hit_line(source: Column, page_start: Column, page_end: Column, score: Column) -> Column:
+    """A hit in one line: source, pages and score."""
+    return F.format_string("%s p.%d-%d (score=%.3f)", F.coalesce(source, F.lit("")), page_start, page_end, score)
+
+
 class Generator(Protocol):
     """Makes an answer from an instruction and a prompt."""
 
@@ -73,6 +81,31 @@ def with_retries(call: Callable[[], str], tries: int = TRIES, delay: float = DEL
     raise ValueError("no try allowed")
 
 
+class ChatEndpoint:
+    """A generator behind an HTTP endpoint that takes chat messages and answers with choices; temperature 0, no tools.
+    Overload and rate limits are temporary, other errors aren't. `post` sends a body and returns (status, body)."""
+
+    def __init__(self, url: str, model: str, key: str = "", post: Callable[[str, dict[str, str], bytes], tuple[int, bytes]] | None = None) -> None:
+        self.url, self.model, self.key, self.post = url, model, key, post
+
+    def generate(self, instruction: str, prompt: str) -> str:
+        body = {"model": self.model, "temperature": 0, "messages": [{"role": "system", "content": instruction}, {"role": "user", "content": prompt}]}
+        status, got = (self.post or _posted)(self.url, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}, json.dumps(body).encode())
+        if status == 429 or status >= 500:
+            raise TemporaryError(f"status {status}")
+        if status != 200:
+            raise ValueError(f"status {status}: {got[:200]!r}")
+        return json.loads(got)["choices"][0]["message"]["content"]
+
+
+def _posted(url: str, headers: dict[str, str], body: bytes) -> tuple[int, bytes]:
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=60) as r:
+            return r.status, r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, e.read()
+
+
 class FirstSentence:
     """Offline stand-in for a language model: the first sentence of the context."""
 

@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of at most `most` rows."""
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    for r in df.limit(most).collect():
-        lines.append("| " + " | ".join("—" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |")
-    return "\n".join(lines)
+def cell(v: object) -> str:
+    return "—" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+
+
+def table(names: list[str], rows) -> str:
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
+
+
+def markdown(df: DataFrame, most: int | None = None) -> str:
+    """A Markdown table of all rows; with `most` of so many, and a line that says there are more."""
+    if most is None:
+        return table(df.columns, df.toLocalIterator())
+    rows = df.limit(most + 1).collect()
+    return table(df.columns, rows[:most]) + ("\n\nmore rows follow" if len(rows) > most else "")
+
+
+def spread(mean: float | None, low: float | None, high: float | None, sign: str = "") -> str | None:
+    return None if mean is None else f"{mean:{sign}.2f} [{low:{sign}.2f}, {high:{sign}.2f}]"

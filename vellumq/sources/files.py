@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellumq.operators.pages import DPI, MIN_CHARS
+from vellumq.operators.running import prefix_sums
 from vellumq.schemas import BLOCK, CHUNK, QUESTION
+from vellumq.session import dropped, saved
 
 PAGE = "path string, source_file string, doc_id string, page int, text string, blocks array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>, image binary"
 
@@ -65,8 +67,8 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk JSON of a folder with chunk_ord: files in order of their names, chunks in order within."""
     one = spark.read.text(folder, wholetext=True, pathGlobFilter="*.chunks.json").select(F.col("_metadata.file_path").alias("path"), "value")
     items = one.select("path", F.posexplode(F.from_json("value", f"array<{CHUNK.simpleString()}>")).alias("no", "c"))
-    n = items.groupBy("path").agg(F.count("*").alias("n"))
-    base = n.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a file
+    n = items.groupBy("path").agg(F.count("*").alias("n")).withColumn("every", F.lit(0))
+    base = prefix_sums(n, ["every"], ["path"], ["n"]).select("path", (F.col("n_upto") - F.col("n")).alias("base"))
     keep = [f"c.{f.name}" for f in CHUNK.fields if f.name != "chunk_ord"]
     return items.join(base, "path").select(*keep, (F.col("base") + F.col("no")).cast("long").alias("chunk_ord"))
 
@@ -75,17 +77,73 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION).option("multiLine", "true").json(path).withColumnRenamed("id", "qid")
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Parquet by doc_id: documents in `df` replace their earlier versions, others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+BUCKETS = 64
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines by doc_id, replaced like `write_documents`."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(path)
+def _bucketed(df: DataFrame, path: str, kind: str, buckets: int) -> None:
+    spark = df.sparkSession
+    new = saved(df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
+    try:
+        old = spark.read.format(kind).schema(new.schema).load(path)
+    except AnalysisException:  # no such table yet
+        old = None
+    if old is not None:
+        # only the buckets that get documents are read and written again
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        kept = old.filter(F.col("bucket").isin(touched)).join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+        both = saved(new.unionByName(kept.select(*new.columns)))
+        dropped(new)
+        new = both
+    # a document may hold a third of the rows: four files a bucket, rows dealt by their content
+    dealt = new.repartition("bucket", F.pmod(F.xxhash64(*new.columns), F.lit(4)))
+    dealt.write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").save(path)
+    dropped(new)
+
+
+def write_documents(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Parquet in buckets of doc_id: documents in `df` replace their earlier versions, others stay. One table has one
+    number of buckets."""
+    _bucketed(df, path, "parquet", buckets)
+
+
+def write_json(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """JSON lines, replaced like `write_documents`."""
+    _bucketed(df, path, "json", buckets)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
 
 
 def stale(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Files that have not been parsed since they changed; parsed has doc_id, parsed_at."""
     f = files.select(stem().alias("doc_id"), "path", "modificationTime")
     return f.join(parsed, "doc_id", "left").filter(F.col("parsed_at").isNull() | (F.col("parsed_at") <= F.col("modificationTime"))).select("doc_id", "path")
+
+
+WORDS = "source_file string, doc_id string, page int, pos int, text string, block_num int, par_num int, line_num int, left int, top int, width int, height int"
+
+
+def tesseract_words(image: bytes) -> dict[str, list]:
+    """The recogniser's parallel arrays for a page image."""
+    import io
+
+    import pytesseract  # optional
+    from PIL import Image
+
+    return pytesseract.image_to_data(Image.open(io.BytesIO(image)), output_type=pytesseract.Output.DICT)
+
+
+def recogniser(words_of: Callable[[bytes], dict[str, list]] = tesseract_words) -> Callable[[DataFrame], DataFrame]:
+    """A step for `plans.pipeline.blocks_of`: image pages to word rows, the recogniser run where the image is."""
+    cols = ["text", "block_num", "par_num", "line_num", "left", "top", "width", "height"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for src, doc, page, image in zip(b["source_file"], b["doc_id"], b["page"], b["image"]):
+                if image is None:
+                    continue
+                got = words_of(image)
+                yield pd.DataFrame({"source_file": src, "doc_id": doc, "page": page, "pos": range(len(got["text"])), **{c: got[c] for c in cols}}, columns=[x.split()[0] for x in WORDS.split(", ")])
+
+    return lambda pages: pages.select("source_file", "doc_id", "page", "image").mapInPandas(run, WORDS)

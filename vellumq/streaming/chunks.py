@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellumq.operators import chunking
 from vellumq.schemas import BLOCK
-from vellumq.session import cut
-from vellumq.sources.files import write_documents
+from vellumq.session import dropped, one_per_key, saved, scratch
+from vellumq.sources.files import read_documents, write_documents
 
 
 def chunk_stream(spark: SparkSession, source: str, out: str, checkpoint: str, available_now: bool = True, target: int = chunking.TARGET, overlap: int = chunking.OVERLAP) -> StreamingQuery:
@@ -23,15 +24,18 @@ def chunk_stream(spark: SparkSession, source: str, out: str, checkpoint: str, av
     def each(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
         docs = batch.select("doc_id").distinct()
+        every = batch.withColumn("__version", F.lit(1))
         try:
-            old = s.read.schema(BLOCK).parquet(f"{out}/blocks").select(*batch.columns).join(docs, "doc_id", "left_semi")
-            every = batch.unionByName(old)
+            old = read_documents(s, f"{out}/blocks").select(*batch.columns).join(docs, "doc_id", "left_semi")
+            every = every.unionByName(old.withColumn("__version", F.lit(0)))
         except AnalysisException:  # no block table yet
-            every = batch
-        # computed before the table it reads is replaced; repeated blocks count once
-        every = cut(every.dropDuplicates(["doc_id", "block_ord"]))
-        write_documents(every, f"{out}/blocks")
-        write_documents(chunking.chunks_of(every, target, overlap), f"{out}/chunks")
+            pass
+        # a block that is sent again replaces its earlier version
+        every = saved(one_per_key(every, ["doc_id", "block_ord"], ["__version"]).select(*batch.columns))
+        with scratch():
+            write_documents(every, f"{out}/blocks")
+            write_documents(chunking.chunks_of(every, target, overlap), f"{out}/chunks")
+        dropped(every)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
