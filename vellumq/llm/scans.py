@@ -4,7 +4,8 @@ Three classifiers and one retrieval work together. Line-pair classifiers (gradie
 by comparing a line at the head of a page with the heads of the source's other pages, and words broken at a line end,
 by comparing the joined word, the hyphenated compound and both halves with the vocabulary. Words that no born-digital
 block has are looked up through an inverted join on character q-grams; a gradient-boosted ranker, trained on clean
-words that the table of confusions has spoiled, chooses the correction or none. All training sets are bounded
+words that the table of confusions has spoiled, chooses the correction or none; where none is retrieved, a classifier
+tells misread words and figures from codes. All training sets are bounded
 (`SAMPLE` rows each, chosen by hash) and labelled by the data themselves; vocabulary, candidates and lines are complete.
 
 Defined results: only scanned lines with text are judged (a block without a method was read as its page was); garbage
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 from vellumq.llm.boosting import Boosted
 from vellumq.llm.common import prefix_sums
 from vellumq.llm.furniture import with_scanned
-from vellumq.llm.quality import block_scores
+from vellumq.llm.quality import block_scores, weak_label
 from vellumq.session import cut
 from vellumq.sources.tables import blocks
 
@@ -37,6 +38,7 @@ CONFUSIONS = [
     ("rn", "m"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("i", "1"), ("i", "l"), ("l", "i"), ("l", "!"), ("l", "|"), ("i", "|"), ("b", "8"), ("g", "9"), ("b", "6"), ("z", "2"), ("a", "4"), ("ri", "n"), ("ii", "u"), ("vv", "w"),
 ]
 DIGITS = ("OoQlI|!SBZG", "00011115826")
+FIGURES = [(t, s) for s, t in zip(*DIGITS)]
 
 
 def token_core(c: Column) -> Column:
@@ -83,12 +85,13 @@ def confusion_cost(seen: str, true: str) -> tuple[int, int]:
     return cost[n][m] % 10, cost[n][m] // 10
 
 
-def spoil(word: str, seed: int) -> str | None:
-    """The word with one or two characters misread; None where it has nothing to confuse."""
+def spoil(word: str, seed: int, figures: bool = False) -> str | None:
+    """The word, or figure, with one or two characters misread; None where it has nothing to confuse."""
+    table = FIGURES if figures else CONFUSIONS[:15]
     rng = np.random.default_rng(abs(seed) % (1 << 32))
     out = word
     for _ in range(1 + (rng.random() < 0.25)):
-        spots = [(i, t, s) for t, s in CONFUSIONS[:15] for i in range(len(out)) if out.startswith(t, i)]
+        spots = [(i, t, s) for t, s in table for i in range(len(out)) if out.startswith(t, i)]
         if not spots:
             break
         i, t, s = spots[int(rng.integers(len(spots)))]
@@ -134,7 +137,7 @@ def scanned_lines(b: DataFrame) -> DataFrame:
     x = x.withColumn("page", F.coalesce("page", F.lit(-1))).withColumn("src", F.coalesce("source_file", "doc_id", F.lit("")))
     # a wrapped remainder of prose may be figures alone: short lines are garbage only by their characters
     odd = (F.col("symbol_ratio") >= 0.3) | (F.col("slash_share") >= 0.5) | (F.col("max_word") >= 100) | ((F.col("no_vowel_share") >= 0.3) & (F.col("common_share") == 0) & (F.col("n_words") >= 4)) | ((F.col("mixed_share") >= 0.6) & (F.col("n_words") >= 3) & (F.col("mean_word") >= 8))
-    x = x.withColumn("garbage", (F.col("junk") > 0.5) & ((F.col("n_words") >= 12) | odd))
+    x = x.withColumn("garbage", (F.col("junk") > 0.5) & ~F.coalesce(weak_label() == 0, F.lit(False)) & ((F.col("n_words") >= 12) | odd))
     down, up = Window.partitionBy("src", "page").orderBy("block_ord"), Window.partitionBy("src", "page").orderBy(F.desc("block_ord"))
     x = x.withColumn("top", F.row_number().over(down)).withColumn("bottom", F.row_number().over(up))
     d = r"[0-9OoQlI|!SBZG]{1,4}"
@@ -246,6 +249,7 @@ def with_breaks(x: DataFrame, v: DataFrame) -> DataFrame:
 
 # -- misread words ----------------------------------------------------------------------------------------------
 
+SHARED, CLOSE = 0.34, 20
 RANK = ["confusions", "edits", "length", "log_true", "log_seen", "marked", "shared"]
 
 
@@ -257,16 +261,24 @@ def grams(c: Column) -> Column:
 def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(seen columns, meant, log_true, features): lexicon words that share q-grams with a word and are close to it.
 
-    The inverted join is on (q-gram, length): misreadings change the length by two at most. `least` is the frequency
-    (as log_true) below which a lexicon word can't be the correction.
+    Up to two misreadings of two characters leave SHARED of a lexicon word's q-grams, so a word that keeps c of its n is
+    met by any n - c + 1 of them: the inverted join is on (q-gram, length) of the rarest, and frequent q-grams, which
+    would pair everything with everything, stand in it only where a word has no others. Misreadings change the length
+    by two at most. `least` is the frequency (as log_true) below which a lexicon word can't be the correction.
     """
-    lx = lexicon.withColumn("g", grams(F.col("meant"))).withColumn("len", F.length("meant")).withColumn("ng", F.size("g"))
-    lx = lx.select("meant", "log_true", "len", "ng", F.posexplode("g").alias("at", "gram"))
-    s = words.withColumn("g", grams(F.col("seen"))).withColumn("sg", F.size("g")).withColumn("len", F.explode(F.expr("sequence(greatest(1, length(seen) - 2), length(seen) + 2)")))
-    s = s.select("seen", "sg", "len", "least", F.posexplode("g").alias("pos", "gram"))
-    hit = s.join(lx, ["gram", "len"]).filter("seen != meant and abs(pos - at) <= 3 and log_true >= least").groupBy("seen", "meant").agg(F.count("*").alias("common"), F.first("log_true").alias("log_true"), F.first("ng").alias("ng"), F.first("sg").alias("sg"))
-    # up to two misreadings of two characters leave this share of the q-grams, short words less
-    hit = hit.filter(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("ng") * 0.34))).filter(F.expr("levenshtein(seen, meant, cast(least(4, 2 + length(meant) / 4) as int))") >= 0)
+    lx = lexicon.select("meant", "log_true", F.length("meant").alias("len"), grams(F.col("meant")).alias("g"))
+    each = lx.select("meant", "log_true", "len", F.size("g").alias("ng"), F.posexplode("g").alias("at", "gram"))
+    df = each.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("meant").orderBy("df", "gram")
+    need = F.greatest(F.lit(1), F.floor(F.col("ng") * SHARED))
+    rare = each.join(df, "gram").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("ng") - need + 1).select("meant", "log_true", "len", "at", "gram")
+    s = words.withColumn("g", grams(F.col("seen"))).withColumn("len", F.explode(F.expr("sequence(greatest(1, length(seen) - 2), length(seen) + 2)")))
+    s = s.select("seen", "len", "least", F.posexplode("g").alias("pos", "gram"))
+    hit = s.join(rare, ["gram", "len"]).filter("seen != meant and abs(pos - at) <= 3 and log_true >= least").groupBy("seen", "meant").agg(F.max("log_true").alias("log_true"))
+    hit = hit.filter(F.expr("levenshtein(seen, meant, cast(least(4, 2 + length(meant) / 4) as int))") >= 0)
+    hit = hit.withColumn("gm", grams(F.col("meant"))).withColumn("gs", grams(F.col("seen"))).withColumn("ng", F.size("gm")).withColumn("sg", F.size("gs"))
+    there = lambda x, i: (F.array_position("gs", x) > 0) & (F.abs(F.array_position("gs", x) - 1 - i) <= 3)
+    hit = hit.withColumn("common", F.size(F.filter("gm", there))).drop("gm", "gs").filter(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("ng") * SHARED)))
 
     @F.pandas_udf("confusions int, edits int")
     def cost(seen: pd.Series, true: pd.Series) -> pd.DataFrame:
@@ -297,7 +309,9 @@ def corrections(unknown: DataFrame, v: DataFrame) -> DataFrame:
     rare = rare.select(F.col("word").alias("seen"), F.lit("").alias("truth"), F.log1p("digital").alias("log_seen"))
     t = candidates(bad.union(rare).withColumn("least", F.lit(0.0)), lex).withColumn("y", (F.col("meant") == F.col("truth")).cast("int"))
     t = t.filter("truth != '' or edits > 0")  # a rare word that confusions alone explain may be noise: no example
-    model = fit_trees(t, RANK)
+    # of the candidates of one word at most CLOSE train: the true one and the closest others
+    first = Window.partitionBy("seen").orderBy(F.desc("y"), "edits", "confusions", F.desc("common"), "meant")
+    model = fit_trees(t.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= CLOSE), RANK)
     real = unknown.select("seen", F.log1p("n").alias("log_seen"), F.log1p(F.col("n") * F.when(F.col("digital") > 0, 50).otherwise(8)).alias("least"))
     close = candidates(real, lex)
     got = (apply_trees(close, model, RANK, "p") if model else close.withColumn("p", F.when(F.col("edits") == 0, 1 - F.col("confusions") / 10).otherwise(0.0))).filter("p > 0.5")
@@ -315,24 +329,72 @@ def tokens_of(x: DataFrame, breaks: DataFrame) -> DataFrame:
     return t.select("block_id", "pos", F.when(F.col("next_id").isNotNull(), F.concat(left, "r")).otherwise(F.col("tok")).alias("tok"), F.col("next_id").alias("other"), F.length(token_core(left)).alias("left_len"))
 
 
+MARKS = ["digits", "letters", "signs", "ligatures", "between", "leads", "trails", "figure", "upper", "length", "known", "often", "corrected"]
+_MARKED = r"\p{L}.*[0-9!|]|[0-9!|].*\p{L}|[ﬁﬂ]|^[!|]+[.,]|^\p{L}{1,2}[.,]\p{L}+$"
+
+
+def _share(c: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
+
+
+def mark_features(t: DataFrame) -> DataFrame:
+    """Features of a token that mixes letters with digits or signs; t has core, n, digital, corrected."""
+    c, low = F.col("core"), F.lower("core")
+    return (
+        t.withColumn("digits", _share(c, r"[^0-9]")).withColumn("letters", _share(c, r"[^\p{L}]")).withColumn("signs", _share(c, r"[^!|]")).withColumn("ligatures", _share(c, "[^ﬁﬂ]"))
+        .withColumn("between", F.size(F.regexp_extract_all(low, F.lit(r"\p{Ll}[0-9!|](?=\p{Ll})"), F.lit(0)))).withColumn("leads", low.rlike(r"^[0-9!|]\p{Ll}{3,}").cast("int")).withColumn("trails", low.rlike(r"\p{Ll}{3,}[0-9!|]$").cast("int"))
+        .withColumn("figure", (as_number(c).rlike(r"^[0-9][0-9.,/%-]*$")).cast("int")).withColumn("upper", _share(c, r"[^\p{Lu}]")).withColumn("length", F.length(c))
+        .withColumn("known", F.log1p(F.col("digital"))).withColumn("often", F.log1p(F.col("n"))).withColumn("corrected", F.col("corrected").cast("int"))
+    )
+
+
+def mark_model(t: DataFrame, v: DataFrame) -> Boosted | None:
+    """Trees that tell misread tokens from codes: born-digital words and figures with a character misread, against the
+    tokens that mix letters and digits in born-digital text and others of their shapes, moved on in the alphabet."""
+
+    @F.pandas_udf("string")
+    def spoiled(word: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([spoil(w, int(h), figures=w[0].isdigit()) for w, h in zip(word, seed)])
+
+    clean = v.filter("digital >= 2").filter(F.col("word").rlike(r"^\p{L}{3,}$|^[0-9][0-9.,/%-]*$"))
+    kinds = clean.withColumn("kind", F.col("word").rlike(r"^[0-9]"))
+    some = some_rows(kinds.filter("not kind"), "word", SAMPLE).unionByName(some_rows(kinds.filter("kind"), "word", SAMPLE))
+    bad = some.select(spoiled("word", F.xxhash64("word", F.lit(3))).alias("core"), (~F.col("kind")).alias("corrected")).filter(F.col("core").rlike(_MARKED))
+    bad = bad.withColumn("digital", F.lit(0).cast("long")).withColumn("n", F.pmod(F.xxhash64("core"), F.lit(3)) + 1).withColumn("y", F.lit(1))
+    codes = some_rows(t.filter("digital >= 5 and digital >= 0.2 * n").select("core", "n", "digital").dropDuplicates(["core"]), "core", SAMPLE)
+    # codes of the same shapes that no other block has: letters and digits moved on
+    upper, figures = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    moved = lambda k: F.translate("core", upper + upper.lower() + figures, upper[k:] + upper[:k] + (upper[k:] + upper[:k]).lower() + figures[k % 10 :] + figures[: k % 10])
+    alike = codes.select(F.explode(F.array(*[moved(k) for k in range(1, 26)])).alias("core")).filter(as_number(F.col("core")).rlike(r"[A-Za-z]")).dropDuplicates(["core"])
+    alike = alike.select("core", (F.pmod(F.xxhash64("core"), F.lit(3)) + 1).alias("n"), F.lit(0).cast("long").alias("digital"))
+    good = codes.unionByName(alike).withColumn("corrected", F.lit(False)).withColumn("y", F.lit(0))
+    return fit_trees(mark_features(bad.select("core", "n", "digital", "corrected", "y").unionByName(good.select("core", "n", "digital", "corrected", "y"))), MARKS)
+
+
 def misread_tokens(x: DataFrame, breaks: DataFrame, v: DataFrame) -> DataFrame:
-    """(block_id, pos, tok, other, left_len, seen, true) of the tokens with a wrongly read character."""
+    """(block_id, pos, tok, other, left_len, seen, meant) of the tokens with a wrongly read character.
+
+    A word is misread if the ranker retrieves a correction. Where it retrieves none, a classifier decides on the tokens
+    that mix letters with digits or signs, among them figures, whose correction is the figure that the characters are
+    read for. Without examples for the classifier, a mixed token is misread if it is a figure once read so.
+    """
     t = tokens_of(x, breaks).withColumn("core", token_core(F.col("tok"))).withColumn("seen", F.lower("core"))
-    t = t.filter(F.col("seen").rlike(r"[\p{L}!|]") & (F.length("seen") <= 60))
+    t = t.filter(F.col("seen").rlike(r"[\p{L}!|]"))
     types = t.groupBy("seen").agg(F.count("*").alias("here")).join(v.withColumnRenamed("word", "seen"), "seen", "left")
     types = cut(types.select("seen", F.greatest("here", F.coalesce(F.col("digital") + F.col("scanned"), F.lit(0))).alias("n"), F.coalesce("digital", F.lit(0)).alias("digital")))
     t = cut(t.join(types, "seen"))
-    # a code like B12 stands as often in born-digital text
-    code = (F.col("digital") >= 5) & (F.col("digital") >= 0.2 * F.col("n"))
-    # figures: digits and characters that are read for digits, at least one of each
-    number = F.col("core").rlike(r"^[0-9OolISBZG|!.,/%-]*[0-9][0-9OolISBZG|!.,/%-]*$") & F.col("core").rlike(r"[OolISBZG|!]")
-    single = F.col("core").rlike(r"^[lIOSBZ]{1,2}[.,][0-9OolISBZG]+$")
-    t = t.withColumn("number", (number | single) & ~code)
-    unknown = types.filter(F.col("seen").rlike(r"\p{L}") & (F.length("seen") >= 2))
-    fix = corrections(unknown, v)
-    inside = F.col("seen").rlike(r"\p{Ll}[0-9!|]\p{Ll}|^[0135!|]\p{Ll}{3,}|\p{Ll}{3,}[01356!|]$|[ﬁﬂ]") & (F.col("digital") == 0)
-    t = t.join(fix, "seen", "left").filter(F.col("number") | F.col("meant").isNotNull() | inside)
-    return t.withColumn("meant", F.when(F.col("number"), as_number(F.col("core"))).otherwise(F.col("meant")))
+    fix = corrections(types.filter(F.col("seen").rlike(r"\p{L}") & (F.length("seen") >= 2)), v)
+    t = t.join(fix, "seen", "left").withColumn("corrected", F.col("meant").isNotNull())
+    mixed = cut(mark_features(t.filter(F.col("core").rlike(_MARKED))))
+    model = mark_model(mixed, v)
+    # a token that is frequent in born-digital text, such as a code, is what it means
+    mixed = mixed.filter("not (digital >= 5 and digital >= 0.2 * n)")
+    mixed = apply_trees(mixed, model, MARKS, "p") if model else mixed.withColumn("p", F.col("figure").cast("double"))
+    as_figure = (F.col("figure") == 1) & (F.col("digits") > 0)
+    keep = ["block_id", "pos", "tok", "other", "left_len", "core", "seen"]
+    odd = mixed.filter("p > 0.5 or corrected = 1").select(*keep, F.when(as_figure | F.col("meant").isNull() & (F.col("figure") == 1), as_number(F.col("core"))).otherwise(F.col("meant")).alias("meant"))
+    plain = t.filter(~F.col("core").rlike(_MARKED) & F.col("corrected")).select(*keep, "meant")
+    return plain.unionByName(odd)
 
 
 def repaired(b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
