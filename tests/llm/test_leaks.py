@@ -24,6 +24,13 @@ def test_myers():
         assert leaks.myers(np.array(p), np.array(t, dtype=int)) == distance(p, t)
 
 
+def test_many_at_once():
+    rng = np.random.default_rng(1)
+    for m in (1, 13, 64):
+        p, t = rng.integers(0, 4, (200, m)), rng.integers(-1, 4, (200, m + 3))
+        assert leaks.myers_many(p, t).tolist() == [distance(a.tolist(), b.tolist()) for a, b in zip(p, t)]
+
+
 def run(spark, docs, items, **k):
     d = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(docs)], "doc long, t string, place int, k string")
     x = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item long, t string, i string")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vellumq.sources.tables import table
 
 WINDOW, ERRORS, BLOCK_CHARS, BLOCKS = 13, 1, 5_000_000, 8
+FILTER_BITS, FILTER_MASK = 20, np.uint64((1 << 20) - 1)
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +52,26 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def myers_many(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """`myers` for rows of patterns and texts at once; symbols that are no text are -1, which no pattern has."""
+    n, m = patterns.shape
+    full, top, one = np.uint64((1 << m) - 1), np.uint64(1 << (m - 1)), np.uint64(1)
+    bit = one << np.arange(m, dtype=np.uint64)
+    pv, mv = np.full(n, full), np.zeros(n, dtype=np.uint64)
+    score = np.full(n, m, dtype=np.int64)
+    best = score.copy()
+    for j in range(texts.shape[1]):
+        eq = np.where(patterns == texts[:, j, None], bit, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        xv = eq | mv
+        xh = ((((eq & pv) + pv) & full) ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & full), pv & xh
+        score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+        ph, mh = (ph << one) & full, (mh << one) & full
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+        best = np.minimum(best, score)
+    return best
+
+
 def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n ids."""
     k = len(ids) - n + 1
@@ -76,6 +97,8 @@ class Index:
             w = words(text)
             if len(w) >= window:
                 self.ids.append((item, np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64)))
+        self.flat = np.concatenate([x for _, x in self.ids] or [np.zeros(0, np.int64)])
+        self.offsets = np.cumsum([0, *(len(x) for _, x in self.ids)])[:-1]
         self.sizes = sorted({n for _, n in self.parts})
         self.tables = {}
         for n in self.sizes:
@@ -89,7 +112,9 @@ class Index:
                     where.append(np.stack([np.full(len(starts), i), starts, np.full(len(starts), at)], 1))
             k, w = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(where or [np.zeros((0, 3), np.int64)])
             order = np.argsort(k, kind="stable")
-            self.tables[n] = (k[order], w[order])
+            some = np.zeros(1 << FILTER_BITS, dtype=bool)  # which pieces there are, by their last bits
+            some[k & FILTER_MASK] = True
+            self.tables[n] = (k[order], w[order], some)
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item, window, place, distance) of every verified window.
@@ -106,29 +131,31 @@ class Index:
             flat += apart
         ids = np.array(flat, dtype=np.int64)
         found = [np.zeros((0, 3), dtype=np.int64)]
-        for n, (keys, where) in self.tables.items():
+        for n, (keys, where, some) in self.tables.items():
             g = _grams(ids, n)
             if not len(g) or not len(keys):
                 continue
-            # a piece holds known words only
-            known = np.convolve(ids == 0, np.ones(n, dtype=np.int64), "valid") == 0
-            at = np.flatnonzero(known)
+            at = np.flatnonzero(some[g & FILTER_MASK])
             lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
             count = hi - lo
             p = np.repeat(at, count)
             which = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
             w = where[which]
             found.append(np.stack([w[:, 0], w[:, 1], p - w[:, 2]], 1))
-        out, starts = [], np.array(begins)
         seen = np.unique(np.concatenate(found), axis=0)
+        if not len(seen):
+            return []
+        item, start, place = seen.T
+        starts, stops = np.array(begins), np.array(ends)
         # the text a piece stands in: a place before its begin belongs to a window that runs over it
-        for i, start, place in seen.tolist():
-            no = int(np.searchsorted(starts, place + self.window - 1, "right")) - 1
-            item, item_ids = self.ids[i]
-            d = myers(item_ids[start : start + self.window], ids[max(begins[no], place - self.errors) : min(ends[no], place + self.window + self.errors)])
-            if d <= self.errors:
-                out.append((no, item, start, place - begins[no], d))
-        return out
+        no = np.searchsorted(starts, place + self.window - 1, "right") - 1
+        at = place[:, None] + np.arange(-self.errors, self.window + self.errors)
+        inside = (at >= starts[no][:, None]) & (at < stops[no][:, None])
+        around = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], -1)
+        pattern = self.flat[(self.offsets[item] + start)[:, None] + np.arange(self.window)]
+        d = myers_many(pattern, around)
+        ok = np.flatnonzero(d <= self.errors)
+        return [(int(no[i]), self.ids[item[i]][0], int(start[i]), int(place[i] - starts[no[i]]), int(d[i])) for i in ok]
 
 
 def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
