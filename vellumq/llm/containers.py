@@ -42,7 +42,7 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER)
         t = Tokenizer.from_file(SparkFiles.get(name))
         t.encode_special_tokens = True
         for b in batches:
-            n = [len(x) for at in range(0, len(b), 64) for x in t.encode_batch(b["t"].iloc[at : at + 64].tolist(), add_special_tokens=False)]
+            n = [len(x) for at in range(0, len(b), 64) for x in t.encode_batch_fast(b["t"].iloc[at : at + 64].tolist(), add_special_tokens=False)]
             yield pd.DataFrame({"k": b["k"], "n": n})
 
     kind = df.schema[key].dataType.simpleString()
