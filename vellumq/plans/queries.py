@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumq.functions.text import preview, tokens
 from vellumq.operators import answer, chunking, dense, fusion, lexical, metrics, pages, relevance
 from vellumq.plans import configs
-from vellumq.session import saved
+from vellumq.session import kept, modified, saved, still_there
 from vellumq.sources.tables import blocks, chunks, table
 
 TOP = 10
@@ -86,8 +86,25 @@ def _six(x: DataFrame) -> DataFrame:
     return x.select("qid", "chunk_ord", "rank", F.round("score", 6).alias("score"))
 
 
+_built: dict[tuple, lexical.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, lexical.Index]:
+    """The chunks and their BM25 index, built once for a folder as long as its table of chunks isn't written again."""
+    c = chunks(spark, d)
+    key = (spark.sparkContext.applicationId, d, modified(spark, f"{d}/chunks.parquet"))
+    if key not in _built or not all(still_there(x) for x in _built[key]):
+        _built[key] = tuple(kept(x) for x in lexical.index(c))
+    return c, _built[key]
+
+
+def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
+    c, built = _index(spark, d)
+    return lexical.bm25(questions(spark, d), c, k, built)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _six(lexical.bm25(questions(spark, d), chunks(spark, d), TOP))
+    return _six(_sparse(spark, d, TOP))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +129,7 @@ def bow_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    sparse = lexical.bm25(questions(spark, d), chunks(spark, d), fusion.CANDIDATES)
-    return _six(fusion.hybrid(_letters(spark, d, fusion.CANDIDATES), sparse, TOP))
+    return _six(fusion.hybrid(_letters(spark, d, fusion.CANDIDATES), _sparse(spark, d, fusion.CANDIDATES), TOP))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +139,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    return _six(fusion.rerank(lexical.bm25(q, c, fusion.RERANKED), q, c, TOP))
+    return _six(fusion.rerank(_sparse(spark, d, fusion.RERANKED), q, c, TOP))
 
 
 def confidence_per_query(spark: SparkSession, d: str) -> DataFrame:

@@ -55,10 +55,37 @@ def saved(df: DataFrame) -> DataFrame:
 
 cut = saved
 _tables: dict[str, SparkSession] = {}
+_kept: dict[str, SparkSession] = {}
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Exempts a saved table from the removal at the end of a `scratch` block; it stays until the driver ends."""
+    path = getattr(df, "_vellumq_path", "")
+    if path in _tables:
+        _kept[path] = _tables.pop(path)
+    return df
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the table of a frame that `saved` returned can still be read by the running context."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or df.sparkSession.sparkContext is not spark.sparkContext:
+        return False
+    at = spark._jvm.org.apache.hadoop.fs.Path(getattr(df, "_vellumq_path", "/"))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written, 0 if that can't be told."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    except Exception:
+        return 0
 
 
 def _remove(path: str) -> None:
-    spark = _tables.pop(path, None)
+    spark = _tables.pop(path, None) or _kept.pop(path, None)
     if spark is not None:
         with contextlib.suppress(Exception):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,7 +111,7 @@ def scratch() -> Iterator[None]:
 
 @atexit.register
 def _remove_all() -> None:
-    for path in list(_tables):
+    for path in [*_tables, *_kept]:
         _remove(path)
 
 
