@@ -399,6 +399,7 @@ def misread_tokens(x: DataFrame, breaks: DataFrame, v: DataFrame) -> DataFrame:
 
 def repaired(b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, breaks, misread tokens) of the scanned pages."""
+    b = cut(b.select("block_id", "doc_id", "block_ord", "text", "page", "source_file", "extraction_method"))
     v = vocabulary(b)
     x = cut(with_headers(scanned_lines(b)))
     breaks = with_breaks(x, v)
