@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumq.session import cut, one_per_key
+from vellumq.session import cut, one_per_key, saved
 from vellumq.sources.tables import table
 
 # Codes and names under which the ten languages are known.
@@ -267,7 +267,8 @@ def passages(df: DataFrame, key: str, text: str, model: Model | None) -> DataFra
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return one_per_key(table(spark, folder, "documents").select("doc_id", "text", "lang", "fetched_at"), ["doc_id"], ["fetched_at"])
+    """One row a document, as a table: training and scoring read it, the shuffle that finds it is done once."""
+    return saved(one_per_key(table(spark, folder, "documents").select("doc_id", "text", "lang", "fetched_at"), ["doc_id"], ["fetched_at"]))
 
 
 def model_for(d: DataFrame) -> Model | None:
