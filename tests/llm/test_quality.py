@@ -91,3 +91,32 @@ def test_null_and_empty(spark):
     s, _ = q.block_scores(b)
     assert [r["junk"] for r in s.collect()] == [0.0, 0.0]
     assert q.block_scores(b.limit(0))[0].count() == 0
+
+
+def test_rules_run_once_with_the_statistics(spark):
+    every = [t for t, _ in q.CHECKED] + ["", " \n ", "薬 かな " * 9, "a 1b 2c 3d", "| 1 | 2 |\n| 3 | 4 |"]
+    s = q.with_stats(spark.createDataFrame([(t,) for t in every], "text string"), label=True)
+    rows = s.select("weak", q.weak_label().alias("y")).collect()
+    assert [r["weak"] for r in rows] == [-1 if r["y"] is None else r["y"] for r in rows] and {r["weak"] for r in rows} == {-1, 0, 1}
+
+
+def test_chunks_are_joined_with_their_blocks_once(spark):
+    b, model = q.block_scores(world(spark))
+    c = spark.createDataFrame([(1, "d0_0", "some words"), (2, "zz", "The dose was given.")], "chunk_ord long, chunk_id string, text string")
+    out = q.chunk_shares(c, b, model)
+    assert out.count() == 2 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_margins_are_those_of_a_walk_down_each_tree():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    m = Boosted(20).fit(x[:80], x[:80, 0] > x[:80, 1])
+
+    def walk(tree, row):
+        at = 0
+        while tree[at][0] >= 0:
+            at = 2 * at + 1 + (row[tree[at][0]] > tree[at][1])
+        return tree[at][2]
+
+    assert np.allclose(m.margin(x), [m.start + sum(walk(t, row) for t in m.nodes) for row in x], rtol=0, atol=1e-12)
+    assert m.margin(x[:0]).shape == (0,)

@@ -63,17 +63,15 @@ class Boosted:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=float)
+        columns = np.ascontiguousarray(x.T)
         out = np.full(len(x), self.start)
+
+        def value(tree: list[tuple[int, float, float]], node: int) -> np.ndarray | float:
+            f, cut, leaf = tree[node]
+            return leaf if f < 0 else np.where(columns[f] > cut, value(tree, 2 * node + 2), value(tree, 2 * node + 1))
+
         for tree in self.nodes:
-            f = np.array([n[0] for n in tree])
-            cut = np.array([n[1] for n in tree])
-            value = np.array([n[2] for n in tree])
-            at = np.zeros(len(x), dtype=int)
-            for _ in range(self.depth):
-                inner = f[at] >= 0
-                right = x[np.arange(len(x)), np.maximum(f[at], 0)] > cut[at]
-                at = np.where(inner, 2 * at + 1 + right, at)
-            out += value[at]
+            out += value(tree, 0)
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> "Boosted":

@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -201,24 +202,33 @@ def _common_hashes() -> np.ndarray:
     return np.sort(_word_hash(sorted(COMMON)))
 
 
-def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns of STATS for a text column.
+def with_stats(df: DataFrame, text: str = "text", label: bool = False) -> DataFrame:
+    """Adds the columns of STATS for a text column, and as `weak` its weak label (-1 where the rules aren't sure).
 
     Built-in functions would need some twenty patterns a text and a lambda a word, which measured twelve times slower
     than one pass over Arrow batches.
     """
 
-    @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
+    @F.pandas_udf(", ".join([*(f"{s} double" for s in STATS), *["weak byte"] * label]))
     def compute(t: pd.Series) -> pd.DataFrame:
         parts = [statistics(t.iloc[i : i + 1000].fillna("").tolist()) for i in range(0, len(t), 1000)]
-        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(STATS))), columns=STATS)
+        out = pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(STATS))), columns=STATS)
+        if label:
+            junk, prose = _rules(lambda name: out[name].to_numpy())
+            out["weak"] = np.where(junk & ~prose, 1, np.where(prose & ~junk, 0, -1)).astype(np.int8)
+        return out
 
     return df.withColumn("__s", compute(F.col(text))).select(*df.columns, "__s.*")
 
 
 def weak_label() -> Column:
     """1 junk, 0 prose, null where the rules aren't sure."""
-    c = F.col
+    junk, prose = _rules(F.col)
+    return F.when(junk & ~prose, 1).when(prose & ~junk, 0)
+
+
+def _rules(c: Callable) -> tuple:
+    """Whether the rules call a text junk and whether prose; c gives a statistic by its name, as a column or an array."""
     table_ = (c("cell_share") >= 0.6) & (c("number_word_share") >= 0.3) & (c("n_lines") >= 2)
     list_ = (c("n_lines") >= 3) & (c("bullet_share") >= 0.7) & (c("words_per_line") <= 6) & (c("line_end_share") <= 0.3)
     short = (c("n_lines") >= 5) & (c("short_line_share") >= 0.8) & (c("common_share") <= 0.1)
@@ -231,13 +241,13 @@ def weak_label() -> Column:
     words = (c("number_word_share") <= 0.35) & (c("symbol_ratio") <= 0.05) & (c("cell_share") == 0) & (c("bullet_share") == 0) & (c("dots") == 0) & (c("slash_share") <= 0.1) & (c("mixed_share") <= 0.1) & (c("odd_letters") <= 0.18)
     prose = prose | words & (c("common_share") >= 0.1) & (c("words_per_line") >= 6) & (c("n_words") >= 8)
     japanese = (c("kana_ratio") >= 0.3) & (c("symbol_ratio") <= 0.15) & (c("bullet_share") <= 0.3)
-    return F.when(junk & ~(prose | japanese), 1).when((prose | japanese) & ~junk, 0)
+    return junk, prose | japanese
 
 
 def train(stats: DataFrame) -> Boosted:
-    """Trees on weak labels of at most about TRAIN junk and PROSE prose rows, none of them `held`, calibrated on the blocks checked by
+    """Trees on the labels in `weak` of at most about TRAIN junk and PROSE prose rows, none of them `held`, calibrated on the blocks checked by
     hand. Where the weak labels have one class only, half of the checked blocks train and the other half calibrates."""
-    labelled = stats.filter("not held").select(*STATS, weak_label().alias("y")).filter("y is not null")
+    labelled = stats.filter("not held and weak >= 0").select(*STATS, F.col("weak").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, TRAIN / max(n.get(1, 1), 1))).otherwise(min(1.0, PROSE / max(n.get(0, 1), 1)))
     p = labelled.filter(F.pmod(F.xxhash64(*STATS), F.lit(1 << 30)) < share * (1 << 30)).toPandas().sort_values([*STATS, "y"])
@@ -262,9 +272,9 @@ def scored(stats: DataFrame, model: Boosted) -> DataFrame:
 def block_scores(b: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, Boosted]:
     """(blocks with STATS and `junk`, the model); `keep`: the columns of b to carry on, else all."""
     held = F.coalesce(F.col("text").isin([t for t, _ in CHECKED]), F.lit(False)).alias("held")
-    s = saved(with_stats(b).select(*(b.columns if keep is None else keep), *STATS, held))
+    s = saved(with_stats(b, label=True).select(*(b.columns if keep is None else keep), *STATS, "weak", held))
     model = train(s)
-    return scored(s.drop("held"), model), model
+    return scored(s.drop("held", "weak"), model), model
 
 
 def chunk_shares(c: DataFrame, b: DataFrame, model: Boosted) -> DataFrame:
@@ -278,6 +288,7 @@ def chunk_shares(c: DataFrame, b: DataFrame, model: Boosted) -> DataFrame:
     g = m.groupBy("doc_id", "chunk_no").agg(F.sum(hi - lo).alias("n"), F.sum(F.when(F.col("junk") > 0.5, hi - lo).otherwise(0)).alias("bad"))
     traced = g.select(F.concat_ws("_", "doc_id", F.col("chunk_no").cast("string")).alias("chunk_id"), (F.col("bad") / F.col("n")).alias("share"), "n")
     j = c.select("chunk_ord", "chunk_id", "text").join(traced, "chunk_id", "left").withColumn("same", F.coalesce(F.size(split_words(F.col("text"))) == F.col("n"), F.lit(False)))
+    j = saved(j.select("chunk_ord", "share", "same", F.when(F.col("same"), None).otherwise(F.col("text")).alias("text")))  # joined and counted once
     rest = j.filter("not same").filter("text is not null").select("chunk_ord", split_words(F.col("text")).alias("w"))
     parts = rest.select("chunk_ord", F.explode(F.expr("transform(sequence(0, greatest(0, size(w) - 1), 30), i -> slice(w, i + 1, 30))")).alias("p")).select("chunk_ord", F.array_join("p", " ").alias("text"))
     own = scored(with_stats(parts), model).groupBy("chunk_ord").agg(F.try_divide(F.sum(F.when(F.col("junk") > 0.5, F.col("n_words")).otherwise(0)), F.sum("n_words")).alias("share"))
