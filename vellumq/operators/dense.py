@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumq.functions.text import query_prefix
-from vellumq.operators.lexical import top_k
+from vellumq.operators.lexical import merged, top_k
 from vellumq.session import saved
 
 BLOCK, BLOCKS = 2000, 8
@@ -73,13 +73,17 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, s
 
     Query vectors go to the executors in matrices of `block` rows, `BLOCKS` matrices to one pass over the vectors, so
     what is sent at once is bounded; more queries are more passes. A task keeps the best k of each query over all its
-    batches, so k rows a query and task are shuffled.
+    batches, so k rows a query and task are shuffled, and there are as many tasks as cores.
     """
     kind, okind = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_ord"].dataType.simpleString()
     q = queries.select("qid", "embedding")
     blocks = max(1, -(-q.count() // block))
     q = saved(q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))) if blocks > BLOCKS else q.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     v, out = vectors.select("chunk_ord", "embedding"), None
+    if blocks > BLOCKS:
+        v = saved(v)
+    # each task gives k rows a query, so no more tasks than there is room for at once
+    v = v.coalesce(max(1, queries.sparkSession.sparkContext.defaultParallelism))
     for at in range(0, blocks, BLOCKS):
         rows = q.filter((F.col("__b") >= at) & (F.col("__b") < at + BLOCKS)).collect()  # about `block` times `BLOCKS` rows
         parts = []
@@ -98,17 +102,19 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, s
                 for start in range(0, len(b), 4096):
                     p = b.iloc[start : start + 4096]
                     o = p["chunk_ord"].to_numpy()
+                    m = None
                     for i, (ids, matrix) in enumerate(sent.value):
-                        m = np.array([x if x is not None else np.zeros(matrix.shape[1]) for x in p["embedding"]], dtype=np.float64).reshape(len(p), -1)
+                        if m is None or m.shape[1] != matrix.shape[1]:
+                            m = np.array([x if x is not None else np.zeros(matrix.shape[1]) for x in p["embedding"]], dtype=np.float64).reshape(len(p), -1)
                         s = np.round(matrix @ m.T, 9)
                         if skip_self:
                             s[ids[:, None] == o[None, :]] = -np.inf
-                        kept[i] = _merged(kept[i], s, np.broadcast_to(o, s.shape), k)
+                        kept[i] = merged(kept[i], s, o, k)
             for (ids, _), x in zip(sent.value, kept):
                 if x is not None:
-                    s, o = x
+                    r, o, s, _ = x
                     real = s > -np.inf
-                    yield pd.DataFrame({"qid": np.repeat(ids, real.sum(axis=1)), "chunk_ord": o[real], "score": s[real]})
+                    yield pd.DataFrame({"qid": ids[r[real]], "chunk_ord": o[real], "score": s[real]})
 
         part = v.mapInPandas(best, f"qid {kind}, chunk_ord {okind}, score double")
         out = part if out is None else out.unionByName(part)
@@ -117,21 +123,6 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, s
     return top_k(out, k).select("qid", "chunk_ord", "rank", "score")
 
 
-def _merged(old: tuple[np.ndarray, np.ndarray] | None, s: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best k columns of each row of old and new scores, ties to the lower ordinal."""
-    if s.shape[1] > k:
-        # all that reach the k-th score, ties included, then in order
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        if old is not None and old[0].shape[1] >= k:
-            least = np.maximum(least, old[0].min(axis=1))
-        some = np.flatnonzero((s >= least[:, None]).any(axis=0))
-        s, o = s[:, some], o[:, some]
-    if old is not None:
-        s, o = np.concatenate([old[0], s], axis=1), np.concatenate([old[1], o], axis=1)
-    order = np.lexsort((o, -s), axis=1)[:, :k]
-    return np.take_along_axis(s, order, axis=1), np.take_along_axis(o, order, axis=1)
-
-
 def save_index(vectors: DataFrame, chunks: DataFrame, path: str, model: str) -> None:
     """Vectors, chunks and, last, the manifest: without it there is no index."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
